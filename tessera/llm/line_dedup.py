@@ -80,19 +80,19 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     Each remaining line keeps its place; lines are joined by a newline. All other columns stay.
     """
-    own = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("__key", F.xxhash64("__text"))
-    marks = bitmaps.select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__mark"), F.col("n_dropped").alias("__n"), F.col("words").alias("__words"))
-    joined = own.join(marks, (F.col("doc_id").cast("long") == F.col("__doc")) & (F.col("__key") == F.col("__mark")), "left")
-    lines = "split(__text, '\\n', -1)"
+    own = docs.select(F.struct("*").alias("row")).withColumn("whole", F.coalesce(F.col("row.text").cast("string"), F.lit(""))).withColumn("key", F.xxhash64("whole"))
+    marks = bitmaps.select(F.col("doc_id").alias("mark_doc"), F.col("text_key").alias("mark_key"), F.col("n_dropped").alias("n"), "words")
+    joined = own.join(marks, (F.col("row.doc_id").cast("long") == F.col("mark_doc")) & (F.col("key") == F.col("mark_key")), "left")
+    lines = "split(whole, '\\n', -1)"
     kept = (
-        joined.withColumn("__map", F.expr("map_from_entries(__words)"))
-        .withColumn("__bits", F.expr(f"transform(sequence(0, cast((size({lines}) - 1) div 64 as int)), w -> coalesce(__map[w], 0L))"))
-        .withColumn("__kept", F.expr(f"if(__words is null, __text, array_join(filter({lines}, (x, i) -> (shiftright(__bits[cast(i div 64 as int)], i % 64) & 1L) = 0L), '\\n'))"))
+        joined.withColumn("map", F.expr("map_from_entries(words)"))
+        .withColumn("bits", F.expr(f"transform(sequence(0, cast((size({lines}) - 1) div 64 as int)), w -> coalesce(map[w], 0L))"))
+        .withColumn("kept", F.expr(f"if(words is null, whole, array_join(filter({lines}, (x, i) -> (shiftright(bits[cast(i div 64 as int)], i % 64) & 1L) = 0L), '\\n'))"))
     )
     return kept.select(
-        *[F.col("__kept").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        *[F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns],
         F.expr(f"cast(size({lines}) as long)").alias("__n_lines"),
-        F.coalesce("__n", F.lit(0).cast("long")).alias("__n_dropped"),
+        F.coalesce("n", F.lit(0).cast("long")).alias("__n_dropped"),
     )
 
 

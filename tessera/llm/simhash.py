@@ -51,6 +51,41 @@ def shingle_hashes(text: str, size: int, seed: int = 42) -> np.ndarray:
     return np.fromiter((digest(joined[a:b], seed) for a, b in spans), np.uint64, len(words) - size + 1)
 
 
+_BASE = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def _powers(n: int, base: int) -> np.ndarray:
+    """base**0 .. base**(n-1), modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def word_shingles(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the ``size``-word shingles of all texts, and how many each text has.
+
+    Words are hashed as polynomials of their bytes, over all texts at once, for uses that fix no
+    hash function; a text of fewer words than ``size`` has no shingle.
+    """
+    raw = [t.encode() for t in texts]
+    b = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
+    space = _SPACE[b]
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], space])))
+    starts, ends = edge[::2], edge[1::2]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b + np.uint64(1)) * _powers(len(b), _BASE))])
+    words = (sums[ends] - sums[starts]) * _powers(len(b), pow(_BASE, -1, 1 << 64))[starts]
+    words = remix(words, 1)
+    text = np.searchsorted(np.cumsum([len(r) + 1 for r in raw]), starts, side="right")
+    n = max(0, len(words) - size + 1)
+    h = words[:n].copy()
+    for k in range(1, size):
+        h = h * np.uint64(_BASE) + words[k : k + n]
+    whole = text[:n] == text[size - 1 :][:n]
+    return remix(h[whole], 1), np.bincount(text[:n][whole], minlength=len(texts))
+
+
 def remix(h: np.ndarray, k: int) -> np.ndarray:
     """Further 64 bits of each hash (k = 0: the hash itself)."""
     if k == 0:
@@ -68,8 +103,8 @@ def simhash(h: np.ndarray, words: int = 1) -> list[int]:
     for k in range(words):
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 65_536):
-            raw = remix(h[at : at + 65_536], k).astype(">u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
+            raw = remix(h[at : at + 65_536], k).astype(">u8").view(np.uint8)
+            ones += np.unpackbits(raw).reshape(-1, 64).sum(axis=0, dtype=np.int64)
         out.append(int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big", signed=True))
     return out
 
@@ -321,3 +356,18 @@ def near_duplicate_groups(
     for n in names:
         same = same & (F.col(n) == F.col(f"r_{n}"))
     return prints.join(named, same).select("doc_id", *names, "component_id")
+
+
+def one_of_each_group(docs: DataFrame, shingle_words: int = 5, words: int = 4, radius: int = 48, sampled: tuple[int, int] | None = (14, 48)) -> DataFrame:
+    """The rows of the least doc_id of each group of near-duplicates, with all their columns.
+
+    The defaults stand for five-word shingles and a similarity of 0.8: two texts that similar differ in
+    39 of 256 bits on average, with a standard deviation of 5.7, so 48 bits take in 19 of 20 pairs that lie
+    exactly there; a key of 14 bits in 48 tables finds 99 % of pairs at 39 bits and more of nearer ones.
+    Rows without an id stay; rows that repeat an id are one document and stay or go together.
+    """
+    groups = near_duplicate_groups(docs.where(F.col("doc_id").isNotNull()), shingle_words, words, radius, sampled)
+    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("row")).withColumn("doc_id", F.col("row.doc_id").cast("long"))
+    found = rows.join(keep, "doc_id", "left_semi").unionByName(rows.where(F.col("doc_id").isNull()))
+    return found.select("row.*")

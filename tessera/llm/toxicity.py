@@ -59,7 +59,7 @@ def features(text: str) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 3, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.5, l2: float = 1.0, seed: int = 3) -> tuple[np.ndarray, float]:
+def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 8, alpha: float = 0.5, beta: float = 1.0, l1: float = 2.5, l2: float = 1.0, seed: int = 3) -> tuple[np.ndarray, float]:
     """Weights and intercept of FTRL-proximal logistic regression on sets of buckets."""
     size = 1 << BUCKET_BITS
     z, n = np.zeros(size), np.zeros(size)
@@ -133,3 +133,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.score(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, score double")
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows that score below ``threshold``, with all their columns; a null text counts as empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            texts = batch.column(place).cast(pa.string())
+            yield batch.filter(pa.array([own.score(t.as_py() or "") < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
