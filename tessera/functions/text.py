@@ -1,9 +1,9 @@
 """Exact text formats that no built-in function gives."""
 
-from __future__ import annotations
-
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def number(x: float) -> str:
@@ -11,7 +11,14 @@ def number(x: float) -> str:
     return "0" if x != x else f"{x:.9G}"
 
 
-@F.pandas_udf("string")
-def obj_vertices(values: pd.Series) -> pd.Series:
+def vertex_lines(v: list[float] | None) -> str | None:
+    return None if v is None else "".join(f"v {number(-v[i])} {number(v[i + 1])} {number(v[i + 2])}\n" for i in range(0, len(v) - 2, 3))
+
+
+def obj_vertices(values: str | Column) -> Column:
     """``v x y z`` lines of a flat array of coordinates; x is negated (the other hand)."""
-    return values.map(lambda v: None if v is None else "".join(f"v {number(-v[i])} {number(v[i + 1])} {number(v[i + 2])}\n" for i in range(0, len(v) - 2, 3)))
+
+    def lines(column: pd.Series) -> pd.Series:
+        return column.map(vertex_lines)
+
+    return F.pandas_udf(lines, T.StringType())(values)
