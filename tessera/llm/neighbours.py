@@ -188,7 +188,7 @@ def build_graph(marks: DataFrame, k: int = 24, rounds: int = 5, tries: int = 4,
 # -- search -------------------------------------------------------------------------------------
 
 
-def search(queries: DataFrame, graph: DataFrame, marks: DataFrame, beam: int = 128, width: int = 48, rounds: int = 8) -> DataFrame:
+def search(queries: DataFrame, graph: DataFrame, marks: DataFrame, beam: int = 240, width: int = 60, rounds: int = 10) -> DataFrame:
     """``query_id, node, sim``: the best ``beam`` nodes that greedy search finds for each query.
 
     ``queries`` has ``query_id, start, q, s``: where its search begins, and its quantised vector.
@@ -227,7 +227,7 @@ def search(queries: DataFrame, graph: DataFrame, marks: DataFrame, beam: int = 1
 # -- the operator -------------------------------------------------------------------------------
 
 
-def nearest(vectors: DataFrame, every: int = 50, top: int = 5, k: int = 24, beam: int = 128, width: int = 48) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, top: int = 5, k: int = 24, beam: int = 240, width: int = 60) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` nearest found of each row whose id ``every`` divides.
 
     Candidates are all rows but the query's own; ties go to the smaller vec_id. Rows whose vector is
