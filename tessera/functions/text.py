@@ -22,3 +22,27 @@ def obj_vertices(values: str | Column) -> Column:
         return column.map(vertex_lines)
 
     return F.pandas_udf(lines, T.StringType())(values)
+
+
+def _vectors(tag: str, values: list[float] | None, dim: float, signs: tuple[int, ...]) -> list[str]:
+    if values is None:
+        return []
+    step = int(dim)
+    return [tag + "".join(f" {number(sign * x)}" for sign, x in zip(signs, values[at : at + step], strict=False)) + "\n" for at in range(0, len(values), step)]
+
+
+def obj_lines(name: str, vertices: str, uv: str, normals: str, faces: str) -> Column:
+    """OBJ text of columns ``struct<dim, values>``; ``faces`` holds index triples for each submesh."""
+
+    def text(names: pd.Series, v: pd.Series, v_dim: pd.Series, t: pd.Series, t_dim: pd.Series, n: pd.Series, n_dim: pd.Series, f: pd.Series) -> pd.Series:
+        out = []
+        for k, called in enumerate(names):
+            lines = [f"g {called}\n", *_vectors("v", v[k], v_dim[k], (-1, 1, 1)), *_vectors("vt", t[k], t_dim[k], (1, 1)), *_vectors("vn", n[k], n_dim[k], (-1, 1, 1))]
+            for at, triples in enumerate([] if f[k] is None else f[k]):
+                lines.append(f"g {called}_{at}\n")
+                lines += ["f " + " ".join(f"{i + 1}/{i + 1}/{i + 1}" for i in reversed(corners)) + "\n" for corners in ([] if triples is None else triples)]
+            out.append("".join(lines))
+        return pd.Series(out)
+
+    parts = [F.col(f"{c}.{p}") for c in (vertices, uv, normals) for p in ("values", "dim")]
+    return F.pandas_udf(text, T.StringType())(F.col(name), *parts, F.col(faces))
