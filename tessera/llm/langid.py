@@ -137,7 +137,7 @@ class Model:
             self._learn(new)
         out = []
         for words in found:
-            if not words or not self.langs:
+            if not self.langs or not any(x.isalpha() for w in words for x in w):  # a superscript digit is no letter
                 out.append((UNKNOWN, 0.0))
                 continue
             sums = self._margins[[self._seen[w] for w in words]].sum(axis=0, dtype=np.float64)

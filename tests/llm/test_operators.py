@@ -394,3 +394,11 @@ def test_pipeline_takes_odd_rows(spark, odd):
         assert k == 4 or out.columns == odd.columns
         rows = out.checkpoint()
     assert rows.count() > 0
+
+
+def test_langid_needs_a_letter():
+    from tessera.llm import langid
+
+    model = langid.Model([langid.frequencies("der die das und nicht"), langid.frequencies("the and of is not")], ["de", "en"])
+    found = [x[0] for x in model.predict(["\u00b2 \u00bd", "", "12 34", "the and", "\u00b2 der die"])]
+    assert found[:4] == ["und", "und", "und", "en"] and found[4] in ("de", "en")
