@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import columns as C
 from tessera.functions.text import obj_vertices
 from tessera.operators import relational as R
+from tessera.operators import shaders as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -282,6 +283,22 @@ def shader_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > 1).alias("tier"), first)
 
 
+@kernel("""
+WITH programs AS (SELECT l_orderkey, l_linenumber, l_suppkey % 22 AS platform, l_partkey % 32 AS program FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE platform WHEN 0 THEN 'openGL' WHEN 1 THEN 'd3d9' WHEN 2 THEN 'xbox360' WHEN 4 THEN 'd3d11' WHEN 5 THEN 'gles'
+  WHEN 8 THEN 'd3d11_9x' WHEN 9 THEN 'gles3' WHEN 10 THEN 'psp2' WHEN 11 THEN 'ps4' WHEN 12 THEN 'xboxone' WHEN 14 THEN 'metal' WHEN 15 THEN 'glcore'
+  WHEN 16 THEN 'n3ds' WHEN 17 THEN 'wiiu' WHEN 18 THEN 'vulkan' WHEN 19 THEN 'switch' ELSE 'xboxone+_d3d12' END AS platform, program
+FROM programs WHERE platform = 0 AND program = 1 OR platform = 1 AND program BETWEEN 9 AND 12 OR platform = 4 AND program BETWEEN 15 AND 22
+  OR platform = 5 AND program = 5 OR platform = 8 AND program BETWEEN 13 AND 14 OR platform = 9 AND program BETWEEN 2 AND 4
+  OR platform = 14 AND program = 23 OR platform = 15 AND program BETWEEN 6 AND 8 OR platform = 18 AND program = 25
+  OR platform IN (2, 10, 11, 12, 16, 17, 19, 20) AND program BETWEEN 26 AND 30
+""")
+def shader_usable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs that their platform can use, with the platform's name."""
+    programs = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_suppkey") % 22).alias("platform"), (F.col("l_partkey") % 32).alias("program"))
+    return S.usable_programs(programs, "platform", "program").withColumn("platform", S.platform_name("platform"))
+
+
 @kernel("""
 SELECT l_orderkey, CAST(min(l_linenumber) FILTER (l_returnflag = 'A') AS INTEGER) AS a, CAST(min(l_linenumber) FILTER (l_returnflag = 'N') AS INTEGER) AS n,
   CAST(min(l_linenumber) FILTER (l_returnflag = 'R') AS INTEGER) AS r FROM lineitem GROUP BY l_orderkey
