@@ -7,7 +7,9 @@ fingerprint by every choice of that many blocks puts every such pair into some c
 (no pair is lost). Inside a group the fingerprints are sorted by Gray rank; runs of 16 form the
 leaves of an index, 16 nodes form an upper node, and each node keeps the bits that all below it
 share. Two nodes whose shared bits differ in more than ``radius`` places are pruned with all
-pairs below them. A group that outgrows ``GROUP_ROWS`` is keyed again by a finer cover.
+pairs below them. A group that outgrows ``GROUP_ROWS`` is keyed again by a finer cover while there
+is one that loses no pair; after that it is dealt out in blocks, and every pair of blocks that isn't
+one component already is a group of its own, so the size of a group never decides what is found.
 
 A group gives back one link a fingerprint (to its local root), never all pairs, and connected
 components follow by alternating large-star and small-star joins, checkpointed each round.
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import checkpoint, id_and_text
 
 FAN = 16
-#: Rows of a candidate group from which it is keyed again by a finer cover.
+#: Rows of a candidate group from which it is keyed again by a finer cover, or dealt out in blocks.
 GROUP_ROWS = 20_000
 #: Leaf pairs compared at once: the bound of a task's working memory.
 CHUNK = 4_000
@@ -246,6 +248,8 @@ def near_links(nodes: DataFrame, words: int, radius: int, levels: list[list[list
     """``u, v`` (u > v) links whose components are those of all pairs that share a key and are near.
 
     ``nodes`` has ``node long, w0 ..``; ``levels`` has masks a word for each key, from coarse to fine.
+    A finer level takes the hot keys of the one before, so it must lose no pair of theirs; the hot keys of the
+    last one are compared block by block (``block_pairs``).
     """
     names = [f"w{k}" for k in range(words)]
 
@@ -275,24 +279,56 @@ def near_links(nodes: DataFrame, words: int, radius: int, levels: list[list[list
         if held:
             yield links(held)
 
+    def links_of(groups: DataFrame) -> DataFrame:
+        return groups.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
     found, todo = None, keyed(nodes, levels[0])
     for depth in range(len(levels)):
-        if depth + 1 < len(levels):
-            hot = checkpoint(todo.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS).select("key"))
-            if not hot.isEmpty():
-                todo = checkpoint(todo)
-                more = todo.join(hot, "key", "left_semi")
-                todo = todo.join(hot, "key", "left_anti")
-            else:
-                more = None
-        else:
-            more = None
-        part = todo.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+        sizes = checkpoint(todo.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS))
+        more = None
+        if not sizes.isEmpty():
+            todo = checkpoint(todo)
+            more = todo.join(sizes, "key")
+            todo = todo.join(sizes, "key", "left_anti")
+        part = links_of(todo)
         found = part if found is None else found.unionByName(part)
         if more is None:
-            break
-        todo = keyed(more, levels[depth + 1], F.col("key"))
-    return found.distinct()
+            return found.distinct()
+        if depth + 1 < len(levels):
+            todo = keyed(more, levels[depth + 1], F.col("key"))
+    found = found.unionByName(links_of(more.withColumn("key", F.xxhash64("key", _block(F.col("n"), "key", "node")))))
+    found = checkpoint(found.distinct())
+    return found.unionByName(links_of(block_pairs(more, components(found)))).distinct()
+
+
+def _block(n, *by: str):
+    """A block of about ``GROUP_ROWS / 2`` of ``n`` rows: two of them make a group."""
+    return F.pmod(F.xxhash64(*by, F.lit(5)), F.ceil(n * 2 / GROUP_ROWS))
+
+
+def block_pairs(hot: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of ``hot`` (``key, node, w0 .., n``) once for each pair of blocks of their key, ``key`` naming the pair.
+
+    ``roots`` (``node, root``) are the components known so far. A component with more than half of
+    ``GROUP_ROWS`` rows in a key has blocks of its own, the others share the rest by a hash of the node. Two
+    blocks of one component have nothing to add; every other pair of blocks, and every mixed block with
+    itself, is a group. So a large family costs its rows times the blocks of what isn't in it yet.
+    """
+    words = [c for c in hot.columns if c not in ("key", "node", "n")]
+    rooted = hot.drop("n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    large = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n_root")).where(F.col("n_root") > GROUP_ROWS // 2)
+    rest = checkpoint(rooted.join(large, ["key", "root"], "left").join(hot.groupBy("key").agg(F.first("n").alias("n")), "key"))
+    own = F.col("n_root").isNotNull()
+    of = F.when(own, F.col("root"))
+    block = F.when(own, _block(F.col("n_root"), "node")).otherwise(_block(F.col("n"), "node"))
+    rows = checkpoint(rest.select("key", "node", *words, of.alias("of"), F.xxhash64(of.isNull(), of, block).alias("block")))
+    blocks = rows.select("key", "of", "block").distinct()
+    one, other = (blocks.select("key", F.col("of").alias(f"of_{x}"), F.col("block").alias(f"block_{x}")) for x in "ab")
+    new = ~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))
+    pairs = one.join(other, "key").where((F.col("block_a") <= F.col("block_b")) & new)
+    pairs = pairs.withColumn("pair", F.xxhash64("key", "block_a", "block_b"))
+    sides = pairs.select("key", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"), "pair")
+    return rows.join(sides, ["key", "block"]).select(F.col("pair").alias("key"), "node", *words)
 
 
 # -- components -----------------------------------------------------------------------------
@@ -335,7 +371,8 @@ def near_duplicate_groups(
     Texts link if their fingerprints (64 * ``words`` bits) differ in ``radius`` bits or fewer.
     With ``sampled`` None (one word only) every such pair is found. ``sampled=(bits, tables)``
     keys longer fingerprints by that many random choices of bits, for radii too wide for a cover;
-    a pair at a share p of differing bits is then found with probability 1 - (1 - (1-p)^bits)^tables.
+    a pair at a share p of differing bits is then found with probability 1 - (1 - (1-p)^bits)^tables,
+    however many rows share its keys.
 
     Null and blank texts have fingerprint zero and link like any other. Rows that share a doc_id
     are one node; a null doc_id takes no part as a root and gets the component of its fingerprint
@@ -349,7 +386,7 @@ def near_duplicate_groups(
         levels = [[[m] for m in masks] for masks in covers(radius, known.count())]
     else:
         bits, tables = sampled
-        levels = [sampled_masks(words, bits, tables), sampled_masks(words, 2 * bits, 4 * tables)]
+        levels = [sampled_masks(words, bits, tables)]
     roots = components(near_links(known, words, radius, levels))
     named = nodes.join(roots, "node", "left").select(*[F.col(n).alias(f"r_{n}") for n in names], F.coalesce("root", "node").alias("component_id"))
     same = F.lit(True)

@@ -213,6 +213,26 @@ def test_hot_groups_are_keyed_again(spark, monkeypatch):
     assert [roots.get(i, i) for i in range(len(values))] == brute_groups(values, 4)
 
 
+@pytest.mark.parametrize(("most", "sampled"), [(12, (6, 24)), (1, (14, 96))])
+def test_hot_sampled_groups_lose_no_link(spark, monkeypatch, most, sampled):
+    draw = np.random.default_rng(9)
+    share = draw.integers(0, 1 << 62, 4, np.int64)
+    rows = [tuple(int(x) for x in share)]  # a family around one centre, then pairs at 44 to 48 bits far from it
+    flip = lambda row, n: tuple(w ^ sum(1 << int(b) % 62 for b in bits if b // 62 == k) for bits in [draw.choice(248, n, replace=False)] for k, w in enumerate(row))
+    rows += [flip(rows[0], 10) for _ in range(60)]
+    for _ in range(80):
+        rows.append(flip(rows[0], 70))
+        rows.append(flip(rows[-1], int(draw.integers(44, 49))))
+    nodes = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "node long, w0 long, w1 long, w2 long, w3 long")
+    want = brute_groups([sum((w & (2**64 - 1)) << 64 * k for k, w in enumerate(r)) for r in rows], 48)
+    assert len(set(want)) > 60  # the pairs don't hang together by the family
+    monkeypatch.setattr(simhash, "GROUP_ROWS", most)
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, *_: docs)
+    got = simhash.near_duplicate_groups(nodes.withColumnRenamed("node", "doc_id"), words=4, radius=48, sampled=sampled)
+    root = {r["doc_id"]: r["component_id"] for r in got.collect()}
+    assert [root[i] for i in range(len(rows))] == want
+
+
 def test_odd_texts_group(odd):
     got = simhash.near_duplicate_groups(odd).collect()
     assert len(got) == odd.count()
