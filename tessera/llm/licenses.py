@@ -1,10 +1,11 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each normalised and mapped to a known licence-sentence id, and
+A text is normalised and cut into sentences, each run of whole lines within one that equals a known
+licence sentence is mapped to its id (so hard-wrapped sentences and single lines count alike), and
 the sequence of ids is matched against ordered rules: a rule holds where its ids occur in
 order, next to each other among the known sentences. The tables are fixed and small, so they
 are literals of the plan: no join, no shuffle, one pass over whole texts. Only DataFrame
-functions run here; ``sql.py`` says the same for another engine.
+functions run here; ``sql.py`` says the same for another engine, of the short sentences on one line each.
 """
 
 from __future__ import annotations
@@ -75,10 +76,33 @@ RULES: list[tuple[str, list[str]]] = [
     ("ISC", ["isc-grant"]),
 ]
 
-#: Sentences end at a line break, or at . ! ? ; before white space or the end of the text.
-END = r"\n|[.!?;]+(?=\s|$)"
-#: A sentence without any of these can't be a known one, and isn't normalised.
+# The sentences of the published texts, where they are longer than the short forms above or
+# are cut elsewhere (id, sentence as it reads after normalising).
+PUBLISHED: list[tuple[str, str]] = [
+    ("apache-title", "apache license version 2 0 january 2004"),
+    ("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("as-is", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("gpl3-title", "gnu general public license version 3 29 june 2007"),
+    ("gpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-free", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license"),
+    ("gpl-free", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("gpl2-notice", "gnu general public license version 2 june 1991"),
+    ("lgpl-notice", "gnu lesser general public license version 3 29 june 2007"),
+    ("cc-by-nc-notice", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-notice", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa-notice", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("cc0-notice", "cc0 1 0 universal"),
+    ("mpl-notice", "mozilla public license version 2 0"),
+    ("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("isc-grant", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+]
+
+#: Sentences end at . ! ? ; before white space or the end of the text, but not after the abbreviation "v.".
+END = r"(?<!\bv)[.!?;]+(?=\s|\z)"
+#: A text without any of these holds no known sentence, and isn't normalised.
 HINT = "(?i)licen[cs]e|permi|redistribut|warranty|cc|spdx"
+#: A known sentence from the start of a line or sentence to the end of one: the longest that fits, over single line breaks.
+KNOWN = r"(?:\A|\n)(" + "|".join(s.replace(" ", "[ \\n]") for s in sorted({*SENTENCES.values(), *(s for _, s in PUBLISHED)}, key=lambda s: (-len(s), s))) + r")(?=\n|\z)"
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -86,14 +110,15 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
     ``rule`` is the rule's place in ``RULES``, ``n_matches`` how often its ids follow each other among
     the text's known sentences (matches of one rule do not overlap). Sentences are lower-cased in A-Z, and every run of other
-    characters than a-z, 0-9 and non-ASCII becomes a space. Null and empty texts, and texts
+    characters than a-z, 0-9 and non-ASCII becomes a space, comment signs at a line's start too. A sentence may
+    be wrapped over lines; it ends at a blank line, an end mark, or where a known one is whole at a line's end. Null and empty texts, and texts
     without a known sentence, give no rows; repeated rows give rows each.
     """
     hinted = id_and_text(docs).where(F.col("text").rlike(HINT))
-    sentences = F.filter(F.split("text", END), lambda s: s.rlike(HINT))
-    known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
-    plain = F.transform(sentences, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9\\x{80}-\\x{10FFFF}]+", " ")))
-    ids = F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    known = F.create_map(*[F.lit(x) for name, sentence in [*SENTENCES.items(), *PUBLISHED] for x in (sentence, name)])
+    ended = F.regexp_replace(F.lower("text"), END, "\n\n")
+    plain = F.regexp_replace(F.regexp_replace(ended, "[^a-z0-9\\x{80}-\\x{10FFFF}\n]+", " "), "\\A | ?\n ?| \\z", "\n")
+    ids = F.transform(F.regexp_extract_all(plain, F.lit(KNOWN), F.lit(1)), lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
     sequence = hinted.select("doc_id", F.array_join(F.transform(ids, lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "").alias("seq")).where("seq <> ''")
     rules = F.array(
         *[

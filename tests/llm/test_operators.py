@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 
 import duckdb
 import numpy as np
@@ -314,6 +315,37 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan_licenses(odd).count() == 0 and licenses.scan_licenses(empty).count() == 0
 
 
+PUBLISHED_TEXTS = {
+    "MIT": """MIT License\n\nCopyright (c) 2020 A. Body\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "ISC": """Copyright 2020 A. Body\n\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "BSD": """Copyright 2020 A. Body. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice.""",
+    "GPL": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.""",
+    "GPL ": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.""",
+    "GPL-3.0": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.",
+    "GPL-2.0": "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991",
+    "LGPL-3.0": "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007",
+    "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": "CC0 1.0 Universal\n\nStatement of Purpose",
+}
+RULE_OF = {"MIT": ["mit-grant", "mit-notice-kept"], "BSD": ["bsd-grant", "bsd-source"], "Apache-2.0": ["apache-notice-the", "apache-comply"]}
+
+
+def test_published_license_texts(spark):
+    wrapped = lambda t, start: "\n".join(start + x for part in t.split("\n") for x in (textwrap.wrap(part, 60) or [""]))
+    texts = [(name.strip(), form) for name, t in PUBLISHED_TEXTS.items() for form in (t, wrapped(t, ""), wrapped(t, " * "), wrapped(t, "# ").replace("\n", "\r\n"))]
+    got = collections.defaultdict(set)
+    for r in licenses.scan_licenses(frame(spark, [t for _, t in texts])).collect():
+        got[r["doc_id"]].add((r["license"], r["rule"], r["n_matches"]))
+    for k, (name, text) in enumerate(texts):
+        assert {x[0] for x in got[k]} == {name}, text
+        if name in RULE_OF:
+            assert (name, licenses.RULES.index((name, RULE_OF[name])), 1) in got[k], text
+
+
 # -- 8 ---------------------------------------------------------------------------------------------------------
 
 
