@@ -6,11 +6,13 @@ from running counts of the bits. A window and an item are candidates if their fi
 differ in ``radius`` bits or fewer. The multi-index: a fingerprint is four blocks of 16 bits, and
 two fingerprints within ``radius`` agree up to ``radius // 4`` bits in at least one block, so a
 table a block of all values that near to an item's loses no such pair; the full distance
-decides. Each candidate is then verified: the weighted Jaccard similarity of the window's and the
-item's shingles, repeats counted, must be at least ``similarity``.
+decides. Each candidate is then verified: the weighted Jaccard similarity of the shingles of a window
+of the whole item's size and of the item, repeats counted, must be at least ``similarity``. All starts are
+tried to which words put in or left out can shift such a window from where the hit says that it begins.
 
-Sizes go up in steps of a fifth from 10 shingles on (of one below): an item's fingerprint is that of
-its leading shingles of the step below, while the verification always takes the whole item.
+Sizes go up in steps of a fifth from 10 shingles on (of one below) to ``WIDEST``: an item has fingerprints
+of as many sections of the step below as cover it, the last one at its end, and a hit of any of them is
+a candidate. Some section is at least about as similar as the whole, wherever the edits are.
 At similarity 0.8 two fingerprints differ in 10 bits on average (standard deviation 3), so the
 default radius of 15 finds about 97 % of the pairs that lie exactly there, and more above.
 
@@ -34,20 +36,26 @@ from tessera.llm.simhash import word_shingles
 SHINGLE = 5
 #: Bytes of item texts that are broadcast at once.
 BLOCK_BYTES = 8_000_000
-#: Widest window in shingles; longer items are found by their leading part.
+#: Bound of a section in shingles; longer items have more sections.
 WIDEST = 512
 #: Windows handled at once: their counts stay in a core's cache.
 STEP = 4_096
 
 
 def window_size(shingles: int) -> int:
-    """The window that finds an item of so many shingles: the largest step not above it."""
+    """The section that finds an item of so many shingles: the largest step not above it."""
     size = at = 1
     while at <= min(shingles, WIDEST):
         size, at = at, at + max(1, at // 5)
     return size
 
 
+def section_starts(shingles: int) -> list[int]:
+    """Where the sections of an item begin; together they cover it."""
+    size = window_size(shingles)
+    return sorted({*range(0, shingles - size, size), shingles - size})
+
+
 def near_values(radius: int) -> np.ndarray:
     """All 16-bit values with ``radius`` ones or fewer."""
     every = np.arange(1 << 16, dtype=np.uint16)
@@ -89,17 +97,18 @@ class Items:
         self.radius, self.similarity = radius, similarity
         self.ids: list[int] = []
         self.parts: list[tuple[np.ndarray, np.ndarray, int]] = []
-        by_size: dict[int, list[tuple[int, int]]] = {}
+        by_size: dict[int, list[tuple[int, int, int]]] = {}
         for item_id, text in items:
             h, _ = word_shingles([text], SHINGLE)
             if not len(h):
                 continue
             size = window_size(len(h))
-            mark = int(packed(2 * ones(h[:size]).sum(axis=0, dtype=np.int64)[None, :] > size)[0])
-            by_size.setdefault(size, []).append((mark, len(self.ids)))
+            for start in section_starts(len(h)):
+                mark = int(packed(2 * ones(h[start : start + size]).sum(axis=0, dtype=np.int64)[None, :] > size)[0])
+                by_size.setdefault(size, []).append((mark, len(self.ids), start))
             self.ids.append(item_id)
             self.parts.append((*np.unique(h, return_counts=True), len(h)))
-        self.marks = {size: (np.array([m for m, _ in found], np.uint64), np.array([k for _, k in found])) for size, found in sorted(by_size.items())}
+        self.marks = {size: (np.array([m for m, _, _ in found], np.uint64), np.array([k for _, k, _ in found]), np.array([at for _, _, at in found])) for size, found in sorted(by_size.items())}
         self.widest = max(by_size, default=0)
         self._tables: dict[int, np.ndarray] = {}
 
@@ -117,8 +126,8 @@ class Items:
             self._tables[size] = out
         return self._tables[size]
 
-    def candidates(self, h: np.ndarray, real: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(start, item) of windows within the radius; starts may lie before a text's first shingle.
+    def candidates(self, h: np.ndarray, real: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(start, item, start of the section in the item) of windows within the radius; starts may lie before a text's first shingle.
 
         ``h`` holds the hashes of texts with ``widest`` zeros around each, ``real`` counts the
         texts' shingles up to each place.
@@ -133,20 +142,56 @@ class Items:
                 blocks = found.view(np.uint16).reshape(-1, 4)  # lowest block first
                 hit = table[0][blocks[:, 0]] | table[1][blocks[:, 1]] | table[2][blocks[:, 2]] | table[3][blocks[:, 3]]
                 rows = np.flatnonzero(hit & (filled > 0))
-                marks, items = self.marks[size]
+                marks, items, sections = self.marks[size]
                 for lo in range(0, len(marks), 256):
                     near = np.bitwise_count(found[rows, None] ^ marks[None, lo : lo + 256]) <= self.radius
                     if near.any():
                         i, k = np.nonzero(near)
-                        yield at + rows[i], items[lo + k]
+                        yield at + rows[i], items[lo + k], sections[lo + k]
 
-    def verify(self, window: np.ndarray, item: int) -> float:
-        """Weighted Jaccard similarity of the window's and the item's shingles."""
+    def similarities(self, own: np.ndarray, item: int, first: int, last: int) -> np.ndarray:
+        """Weighted Jaccard similarity with the item of each window of its size that starts at ``first`` .. ``last`` of a text.
+
+        Windows are cut at the text's ends. A shingle counts in the windows that it is in, but for those that have it
+        as often as the item before it. Empty if no window can be similar enough.
+        """
         values, counts, n = self.parts[item]
-        own, own_counts = np.unique(window, return_counts=True)
-        k = np.minimum(np.searchsorted(values, own), len(values) - 1)
-        common = int(np.minimum(np.where(values[k] == own, counts[k], 0), own_counts).sum())
-        return common / (n + len(window) - common)
+        a, b = max(first, 0), min(last + n, len(own))
+        k = np.minimum(np.searchsorted(values, own[a:b]), len(values) - 1)
+        at = np.flatnonzero(values[k] == own[a:b])
+        if len(at) / n < self.similarity:
+            return np.empty(0)
+        k = k[at]
+        order = np.argsort(k, kind="stable")
+        k, at = k[order], at[order] + a
+        back = np.arange(len(k)) - counts[k]
+        full = np.where((back >= 0) & (k[np.maximum(back, 0)] == k), at[np.maximum(back, 0)], at - n)
+        lo, hi = np.maximum(np.maximum(full, at - n) + 1, first), np.minimum(at, last)
+        lo, hi = lo[lo <= hi] - first, hi[lo <= hi] - first
+        size = last - first + 2
+        common = np.cumsum(np.bincount(lo, minlength=size) - np.bincount(hi + 1, minlength=size))[:-1]
+        starts = np.arange(first, last + 1)
+        return common / (n + np.minimum(starts + n, len(own)) - np.maximum(starts, 0) - common)
+
+    def best(self, own: np.ndarray, item: int, starts: list[int]) -> tuple[float, int, int] | None:
+        """(best similarity, its first start, number of windows that match) around the starts that hits give."""
+        n = self.parts[item][2]
+        slack = int(np.ceil(n * (1 - self.similarity) / (1 + self.similarity)))  # what a similar window may have more or less
+        runs: list[list[int]] = []
+        for s in sorted(set(starts)):
+            if runs and s - slack <= runs[-1][1]:
+                runs[-1][1] = s + slack
+            else:
+                runs.append([s - slack, s + slack])
+        best, total = None, 0
+        for first, last in runs:
+            first, last = max(first, 1 - n), min(last, len(own) - 1)
+            near = self.similarities(own, item, first, last) if first <= last else np.empty(0)
+            hits = int((near >= self.similarity).sum())
+            total += hits
+            if hits and (best is None or near.max() > best[0]):
+                best = (float(near.max()), max(0, first + int(near.argmax())))
+        return best and (*best, total)
 
     def scan(self, texts: list[str]) -> list[dict[int, tuple[float, int, int]]]:
         """For each text: item -> (best similarity, its first start, number of windows that match)."""
@@ -162,21 +207,17 @@ class Items:
         real[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(found)) + 1] = 1
         real = np.cumsum(real)
         begins, ends = begin.tolist(), end.tolist()
-        for starts, items in self.candidates(h, real):
+        hits: dict[tuple[int, int], list[int]] = {}
+        for at, items, sections in self.candidates(h, real):
             # a window that begins before its text belongs to the text that it reaches
-            doc = np.searchsorted(end, starts, side="right")
-            for s, k, d in zip(starts.tolist(), items.tolist(), doc.tolist(), strict=True):
-                if d == len(texts):
-                    continue
-                a, b = max(s, begins[d]), min(s + self.parts[k][2], ends[d])
-                if b <= a:
-                    continue
-                found = self.verify(h[a:b], k)
-                if found >= self.similarity:
-                    best, first, n = out[d].get(k, (0.0, 0, 0))
-                    start = a - begins[d]
-                    better = (found, -start) > (best, -first)
-                    out[d][k] = (found if better else best, start if better else first, n + 1)
+            doc = np.searchsorted(end, at, side="right")
+            for s, k, d in zip((at - sections).tolist(), items.tolist(), doc.tolist(), strict=True):
+                if d < len(texts):
+                    hits.setdefault((d, k), []).append(s - begins[d])
+        for (d, k), starts in hits.items():
+            leak = self.best(h[begins[d] : ends[d]], k, starts)
+            if leak is not None:
+                out[d][k] = leak
         return out
 
 
@@ -228,7 +269,8 @@ def _scan(docs: DataFrame, items: Items) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 15) -> DataFrame:
-    """The rows whose text leaks no item, with all their columns; null texts stay."""
-    gone = leaks(docs, benchmark, similarity, radius).select("text_key").distinct()
+    """The rows whose text leaks no item, items with a null id among them, with all their columns; null texts stay."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), "text")
+    gone = leaks(docs, items, similarity, radius).select("text_key").distinct()
     rows = docs.select(F.struct("*").alias("row")).withColumn("text_key", F.xxhash64(F.coalesce(F.col("row.text").cast("string"), F.lit(""))))
     return rows.join(gone, "text_key", "left_anti").select("row.*")

@@ -287,6 +287,43 @@ def test_leaks_are_brute_force(spark, docs, odd, empty):
     assert left == {d for d in range(6)} - {d for d, _ in brute_leaks(list(enumerate(texts)), [*known, (900, long_item)])}
 
 
+def test_items_edited_at_one_end_leak(spark):
+    item = [f"w{k}" for k in range(2000)]
+    short = [f"v{k}" for k in range(47)]
+    texts = [
+        " ".join(["new"] * 20 + [f"x{k}" for k in range(200)] + item[200:] + ["new"] * 20),
+        " ".join(item[200:]),
+        " ".join([f"x{k}" for k in range(30)] + item[:700] + item[860:] + ["new"] * 300),
+        " ".join(item[:-200] + ["new"] * 300),
+        " ".join([f"x{k}" for k in range(30)] + short[4:] + ["new"] * 30),
+        " ".join(["new"] * 30 + item[: len(item) // 2]),
+    ]
+    items = [(1, " ".join(item)), (2, " ".join(short))]
+    found = decontaminate.leaks(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_leaks(list(enumerate(texts)), items)
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)}
+    unnamed = spark.createDataFrame([(None, t) for _, t in items], "item_id long, text string")
+    assert [r["doc_id"] for r in decontaminate.without_leaks(frame(spark, texts), unnamed).collect()] == [5]
+
+
+def test_window_similarities_are_brute_force():
+    draw = random.Random(5)
+    for _ in range(30):
+        item = [str(draw.randrange(6)) for _ in range(draw.randrange(5, 40))]
+        own = [str(draw.randrange(6)) for _ in range(20)] + item + [str(draw.randrange(6)) for _ in range(9)]
+        it = decontaminate.Items([(1, " ".join(item))], 15, 0.0)
+        h, _ = simhash.word_shingles([" ".join(own)], 5)
+        n = len(item) - 4
+        grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        want = []
+        for s in range(1 - n, len(h)):
+            part = grams(own)[max(0, s) : s + n]
+            common = (collections.Counter(part) & collections.Counter(grams(item))).total()
+            want.append(common / (n + len(part) - common))
+        assert np.allclose(it.similarities(h, 0, 1 - n, len(h) - 1), want)
+        assert np.allclose(it.similarities(h, 0, 3, 7), want[n + 2 : n + 7])
+
+
 def test_item_blocks_change_nothing(spark, docs, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = decontaminate.leaks(docs, items).collect()
