@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,11 +80,12 @@ def offsets(df: DataFrame, key: str | list[str], order: str, size: Column, name:
 def parent_of_level(df: DataFrame, key: str, order: str, level: str, deepest: int = 64) -> DataFrame:
     """``parent``: the last earlier row one level up, or null.
 
-    The window keeps the last row of each level in a small map, so each row is read once.
+    The window keeps the last row of each level in a small map, so each row is read once. A level above
+    ``deepest``, whose parent the map doesn't hold, is an error.
     """
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     lasts = F.array(*[F.last(F.when(F.col(level) == k, F.col(order)), ignorenulls=True).over(w) for k in range(deepest)])
-    return df.withColumn("parent", F.when(F.col(level) > 0, F.try_element_at(lasts, F.col(level).cast("int"))))
+    return df.withColumn("parent", F.when(F.col(level) > deepest, F.raise_error(F.lit(f"a level above {deepest} has no parent here"))).when(F.col(level) > 0, F.try_element_at(lasts, F.col(level).cast("int"))))
 
 
 def priority(column: Column, order: list[str], otherwise: int = 999) -> Column:
@@ -97,29 +101,26 @@ def upsert(base: DataFrame, patch: DataFrame, key: str, columns: list[str]) -> D
     return joined.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns])
 
 
-def closure(edges: DataFrame, seeds: DataFrame, most: int = 64) -> DataFrame:
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """``seed, node, depth`` of all that each seed reaches (F04), cycles included.
 
     ``edges`` has ``src, dst``; ``seeds`` has ``seed``. Breadth first: each round joins the frontier with
-    the edges and leaves out what was seen. Rounds are checkpointed in the shared folder, if one is set.
+    the edges and leaves out what was seen, until nothing is new: as many rounds as the longest way is deep. Rounds
+    are checkpointed, in the shared folder if one is set.
     """
     cut = _cut(edges.sparkSession)
     seen = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
     front = seen
-    for depth in range(1, most + 1):
+    for depth in count(1):
         step = front.join(edges, front["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
         front = cut(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
+            return seen
         seen = cut(seen.unionByName(front))
-    return seen
 
 
 def _cut(spark):
     context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        return lambda df: df
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+    if context.getCheckpointDir() is None:  # rounds that aren't cut double the plan each time
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
     return lambda df: df.checkpoint()
