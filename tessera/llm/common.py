@@ -29,19 +29,41 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     )
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the folder that ``spark.checkpoint.dir`` names.
+#: Rows of ids up to which a side of a join is broadcast: some 100 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share.
 
-    That folder is shared by all executors, so a lost one costs nothing. Only where the
-    setting is absent (tests on one machine) a temporary folder is set instead.
+    Only in local mode, where there is one machine, a temporary folder stands in for a missing setting.
     """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named is None:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-")
+        context.setCheckpointDir(named)
+    return named
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with files in the shared folder, so a lost executor costs nothing."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def small_side(ids: DataFrame) -> DataFrame:
+    """A checkpointed table of a few ids a row, marked for broadcast where it has at most ``BROADCAST_ROWS`` rows.
+
+    A larger one goes to the join as it is, and the join shuffles.
+    """
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def crc_mod(doc_id: Column, mod: int) -> Column:
     """crc32 of the id's decimal text, modulo ``mod``: the fold of a row (null for a null id)."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(mod)

@@ -4,21 +4,27 @@ Fingerprints are computed once a text and equal ones fold into one row, so group
 copies cost nothing further. Candidate groups come from a cover of the bits: two fingerprints
 within ``radius`` bits agree on at least ``blocks - radius`` of ``blocks`` blocks, so keying each
 fingerprint by every choice of that many blocks puts every such pair into some common group
-(no pair is lost). Inside a group the fingerprints are sorted by Gray rank; runs of 16 form the
-leaves of an index, 16 nodes form an upper node, and each node keeps the bits that all below it
-share. Two nodes whose shared bits differ in more than ``radius`` places are pruned with all
-pairs below them. A group that outgrows ``GROUP_ROWS`` is keyed again by a finer cover while there
+(no pair is lost). Inside a group the fingerprints are sorted by Gray rank; runs of ``FAN`` form the
+leaves of an index and ``FAN`` nodes an upper node, up to the group. The bits that all below a node share are
+factored into it, with their pattern. Going down, a pair of nodes adds up the differences in the bits that both
+share and their parents didn't; once these exceed ``radius`` all pairs below are pruned.
+
+A group that outgrows ``GROUP_ROWS`` is keyed again by a finer cover while there
 is one that loses no pair; after that it is dealt out in blocks, and every pair of blocks that isn't
 one component already is a group of its own, so the size of a group never decides what is found.
 
 A group gives back one link a fingerprint (to its local root), never all pairs, and connected
 components follow by alternating large-star and small-star joins, checkpointed each round.
+
+Where a similarity is asked for, fingerprints only propose: the texts of each component so found are
+compared again by their whole shingle multisets, in the pairs that the index gives, and only verified links count.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from dataclasses import dataclass
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, id_and_text
+from tessera.llm.bpe import slices
+from tessera.llm.common import checkpoint, id_and_text, small_side
 
-FAN = 16
+FAN = 8
 #: Rows of a candidate group from which it is keyed again by a finer cover, or dealt out in blocks.
 GROUP_ROWS = 20_000
-#: Leaf pairs compared at once: the bound of a task's working memory.
-CHUNK = 4_000
+#: Bytes of shingle hashes that weigh as much as a row of a group.
+ROW_WEIGHT = 1_600
+#: Pairs of nodes taken down a level at once: the bound of a task's working memory.
+CHUNK = 8_000
 
 
 # -- fingerprints ---------------------------------------------------------------------------
@@ -111,17 +120,24 @@ def simhash(h: np.ndarray, words: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = 4, words: int = 1) -> DataFrame:
-    """``doc_id, w0 .. w{words-1}`` of every whole text; null and blank texts have zeros."""
+def fingerprints(docs: DataFrame, shingle_words: int = 4, words: int = 1, with_text: bool = False) -> DataFrame:
+    """``doc_id, w0 .. w{words-1}`` of every whole text; null and blank texts have zeros.
+
+    ``with_text`` adds ``mark``, a hash of the shingles with their counts, which tells texts with one fingerprint apart.
+    """
     names = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [simhash(shingle_hashes(t.as_py(), shingle_words), words) for t in batch.column(1)]
-            columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(words)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+            for part in slices(batch):
+                hashes = [shingle_hashes(t.as_py(), shingle_words) for t in part.column(1)]
+                found = [simhash(h, words) for h in hashes]
+                columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(words)]
+                if with_text:
+                    columns.append(pa.array([xxhash.xxh64_intdigest(np.sort(h).tobytes()) - (1 << 63) for h in hashes], pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", *names, *["mark"] * with_text])
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return id_and_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in [*names, *["mark"] * with_text]))
 
 
 # -- covers ---------------------------------------------------------------------------------
@@ -171,101 +187,160 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
 
-def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels (least index of each component) after linking a[i] with b[i]."""
+def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Link a[i] with b[i] in place; a label is the least index of its component."""
     while True:
         la, lb = labels[a], labels[b]
         if (la == lb).all():
-            return labels
+            return
         least = np.minimum(la, lb)
         np.minimum.at(labels, la, least)
         np.minimum.at(labels, lb, least)
         while (labels[labels] != labels).any():
-            labels = labels[labels]
+            labels[:] = labels[labels]
 
 
-def index_levels(rows: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(shared bits, their pattern) of the rows, of the leaves, and of each level above."""
-    levels = [(np.full_like(rows, ~np.uint64(0)), rows)]
-    all_of, any_of = rows, rows
-    while len(all_of) > FAN:
-        at = np.arange(0, len(all_of), FAN)
+@dataclass
+class Level:
+    """Nodes of an index over many groups: ``sizes`` counts those of each group, which follow each other.
+
+    ``shared`` and ``pattern`` are the bits that all below a node have in common; its children are
+    ``count`` nodes of the level below from ``first`` on, ``parent`` is its node of the level above.
+    """
+
+    sizes: np.ndarray
+    shared: np.ndarray
+    pattern: np.ndarray
+    first: np.ndarray
+    count: np.ndarray
+    parent: np.ndarray
+
+
+def index_levels(rows: np.ndarray, sizes: np.ndarray) -> list[Level]:
+    """The rows (n x words, groups of ``sizes`` one after another) and the levels above them."""
+    none = np.empty(0, np.int64)
+    levels = [Level(sizes, np.full_like(rows, ~np.uint64(0)), rows, none, none, none)]
+    all_of = any_of = rows
+    while sizes.max(initial=0) > FAN:
+        counts = -(-sizes // FAN)
+        place = np.cumsum(sizes) - sizes - FAN * (np.cumsum(counts) - counts)
+        at = np.repeat(place, counts) + FAN * np.arange(counts.sum())
+        number = np.diff(np.append(at, len(all_of)))
         all_of, any_of = np.bitwise_and.reduceat(all_of, at), np.bitwise_or.reduceat(any_of, at)
         shared = ~(all_of ^ any_of)
-        levels.append((shared, all_of & shared))
+        levels[-1].parent = np.repeat(np.arange(len(at)), number)
+        levels.append(Level(counts, shared, all_of & shared, at, number, none))
+        sizes = counts
     return levels
 
 
-def linked(rows: np.ndarray, radius: int, labels: np.ndarray) -> np.ndarray:
-    """Labels of the components of ``rows`` (n x words, in Gray order) under ``radius``."""
-    levels = index_levels(rows)
-    top = len(levels[-1][0])
-    i, j = np.triu_indices(top)
-    stack = [(len(levels) - 1, i, j)]
+def product(first_a: np.ndarray, n_a: np.ndarray, first_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (a, b) of each pair of ranges, and how many each pair has."""
+    total = n_a * n_b
+    k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
+    wide = np.repeat(n_b, total)
+    a = k // wide
+    return np.repeat(first_a, total) + a, np.repeat(first_b, total) + k - a * wide, total
+
+
+def near_pairs(rows: np.ndarray, sizes: np.ndarray, radius: int, labels: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), i < j, of one group and within the radius, that ``labels`` doesn't hold as linked when they come up."""
+    levels = index_levels(rows, sizes)
+    top = levels[-1]
+    begin = np.cumsum(top.sizes) - top.sizes
+    i, j, _ = product(begin, top.sizes, begin, top.sizes)
+    keep = i < j if len(levels) == 1 else i <= j
+    stack = [(len(levels) - 1, i[keep], j[keep], np.zeros(int(keep.sum()), np.int64))]
     while stack:
-        level, i, j = stack.pop()
+        level, i, j, apart = stack.pop()
         if len(i) > CHUNK and level:
-            stack += [(level, i[CHUNK:], j[CHUNK:])]
-            i, j = i[:CHUNK], j[:CHUNK]
-        shared, pattern = levels[level]
-        near = np.bitwise_count((pattern[i] ^ pattern[j]) & shared[i] & shared[j]).sum(axis=-1, dtype=np.int64) <= radius
-        i, j = i[near], j[near]
+            stack += [(level, i[CHUNK:], j[CHUNK:], apart[CHUNK:])]
+            i, j, apart = i[:CHUNK], j[:CHUNK], apart[:CHUNK]
+        own = levels[level]
+        fresh = own.shared[i] & own.shared[j]
+        if level + 1 < len(levels):  # bits that the parents share are added up already
+            up = levels[level + 1].shared
+            fresh &= ~(up[own.parent[i]] & up[own.parent[j]])
+        apart = apart + np.bitwise_count((own.pattern[i] ^ own.pattern[j]) & fresh).sum(axis=-1, dtype=np.int64)
+        ok = apart <= radius
+        if level == 0:
+            ok &= labels[i] != labels[j]
+        elif level == 1 and len(i):  # a pair of leaves that already is one component has nothing to add
+            low, high = np.minimum.reduceat(labels, own.first), np.maximum.reduceat(labels, own.first)
+            ok &= ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
+        i, j, apart = i[ok], j[ok], apart[ok]
         if level == 0:
-            labels = join_labels(labels, i, j)
+            if len(i):
+                yield i, j
             continue
-        if level == 1 and len(i):  # a pair of leaves that already is one component has nothing to add
-            at = np.arange(0, len(labels), FAN)
-            low, high = np.minimum.reduceat(labels, at), np.maximum.reduceat(labels, at)
-            new = ~((low[i] == high[i]) & (low[j] == high[j]) & (low[i] == low[j]))
-            i, j = i[new], j[new]
-        a = (i[:, None] * FAN + np.repeat(np.arange(FAN), FAN)).ravel()
-        b = (j[:, None] * FAN + np.tile(np.arange(FAN), FAN)).ravel()
-        ok = (a < b if level == 1 else a <= b) & (b < len(levels[level - 1][0]))
-        stack.append((level - 1, a[ok], b[ok]))
-    return labels
-
-
-def group_links(key: np.ndarray, node: np.ndarray, rows: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """One (node, root) link for each row that is near another of its key's rows."""
+        a, b, total = product(own.first[i], own.count[i], own.first[j], own.count[j])
+        keep = a < b if level == 1 else a <= b
+        stack.append((level - 1, a[keep], b[keep], np.repeat(apart, total)[keep]))
+
+
+class ShingleSets:
+    """Sets of shingle hashes of many rows, as numbers from 0, for similarities of one row with others."""
+
+    def __init__(self, raw: list[bytes]):
+        self.sizes = np.array([len(x) // 8 for x in raw], np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        values, self.ids = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
+        self.marked = np.zeros(len(values), bool)
+
+    def similarity(self, i: int, js: np.ndarray) -> np.ndarray:
+        own = self.ids[self.begin[i] : self.begin[i] + self.sizes[i]]
+        self.marked[own] = True
+        size = self.sizes[js]
+        at = np.repeat(self.begin[js] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        common = np.bincount(np.repeat(np.arange(len(js)), size), self.marked[self.ids[at]], len(js))
+        self.marked[own] = False
+        either = len(own) + size - common
+        return np.where(either > 0, common / np.maximum(either, 1), 1.0)
+
+
+def group_links(key: np.ndarray, node: np.ndarray, rows: np.ndarray, radius: int, raw: list[bytes] | None = None, similarity: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """One (node, root) link for each row that is linked to another of its key's rows.
+
+    Rows link within ``radius``; with ``raw``, their shingle sets, only at ``similarity`` or more.
+    """
     order = np.lexsort((gray_rank(rows[:, 0]), key))
     key, node, rows = key[order], node[order], rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    sizes = np.diff(np.append(starts, len(key)))
+    sizes = np.diff(np.append(np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)))
     labels = np.arange(len(key))
-    small = np.repeat(sizes <= 4 * FAN, sizes)
-    for d in range(1, int(sizes[sizes <= 4 * FAN].max(initial=1))):
-        a = np.flatnonzero((key[d:] == key[:-d]) & small[d:])
-        near = a[distance(rows[a], rows[a + d]) <= radius]
-        labels = join_labels(labels, near, near + d)
-    for at, n in zip(starts.tolist(), sizes.tolist(), strict=True):
-        if n > 4 * FAN:
-            labels[at : at + n] = at + linked(rows[at : at + n], radius, np.arange(n))
+    sets = ShingleSets([raw[k] for k in order.tolist()]) if raw is not None else None
+    for i, j in near_pairs(rows, sizes, radius, labels):
+        if sets is None:
+            join_labels(labels, i, j)
+            continue
+        long, short = np.maximum(sets.sizes[i], sets.sizes[j]), np.minimum(sets.sizes[i], sets.sizes[j])
+        able = short >= similarity * long
+        turn = np.argsort(i[able], kind="stable")
+        i, j = i[able][turn], j[able][turn]
+        for lo, hi in pairwise([*np.flatnonzero(np.diff(i, prepend=-1)).tolist(), len(i)]):
+            others = j[lo:hi][labels[j[lo:hi]] != labels[i[lo]]]
+            for at in range(0, len(others), FAN * FAN):  # what the first ones link needs no further look
+                part = others[at : at + FAN * FAN]
+                part = part[labels[part] != labels[i[lo]]]
+                if len(part):
+                    part = part[sets.similarity(int(i[lo]), part) >= similarity]
+                    join_labels(labels, np.full(len(part), i[lo]), part)
     at = np.flatnonzero((labels != np.arange(len(labels))) & (node != node[labels]))
     return node[at], node[labels[at]]
 
 
-def near_links(nodes: DataFrame, words: int, radius: int, levels: list[list[list[int]]]) -> DataFrame:
-    """``u, v`` (u > v) links whose components are those of all pairs that share a key and are near.
-
-    ``nodes`` has ``node long, w0 ..``; ``levels`` has masks a word for each key, from coarse to fine.
-    A finer level takes the hot keys of the one before, so it must lose no pair of theirs; the hot keys of the
-    last one are compared block by block (``block_pairs``).
-    """
+def links_of(groups: DataFrame, words: int, radius: int, similarity: float = 0.0) -> DataFrame:
+    """``u, v`` (u > v) links inside the groups ``key, node, w0 ..`` (and ``shingles``, if they decide)."""
     names = [f"w{k}" for k in range(words)]
+    exact = "shingles" in groups.columns
 
-    def keyed(df: DataFrame, masks: list[list[int]], *above) -> DataFrame:
-        signed = lambda m: m - 2**64 if m >= 2**63 else m
-        keys = [F.xxhash64(F.lit(t), *above, *[F.col(n).bitwiseAND(F.lit(signed(m)).cast("long")) for n, m in zip(names, ms, strict=True)]) for t, ms in enumerate(masks)]
-        return df.select(F.explode(F.array(*keys)).alias("key"), "node", *names)
+    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts)
+        col = lambda n: t.column(n).to_numpy()
+        rows = np.stack([col(n).view(np.uint64) for n in names], axis=1)
+        u, v = group_links(col("key"), col("node"), rows, radius, t.column("shingles").to_pylist() if exact else None, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts)
-            col = lambda n: t.column(n).to_numpy()
-            rows = np.stack([col(n).view(np.uint64) for n in names], axis=1)
-            u, v = group_links(col("key"), col("node"), rows, radius)
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
-
         held: list[pa.RecordBatch] = []  # of the key that the last batch ended in
         for batch in batches:
             if not batch.num_rows:
@@ -279,56 +354,89 @@ def near_links(nodes: DataFrame, words: int, radius: int, levels: list[list[list
         if held:
             yield links(held)
 
-    def links_of(groups: DataFrame) -> DataFrame:
-        return groups.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+    rows = groups.select("key", "node", *names, *["shingles"] * exact)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
+
+
+# -- groups over the whole table ------------------------------------------------------------------
+
+
+def near_links(nodes: DataFrame, words: int, radius: int, levels: list[list[list[int]]]) -> DataFrame:
+    """``u, v`` (u > v) links whose components are those of all pairs that share a key and are near.
+
+    ``nodes`` has ``node long, w0 ..``; ``levels`` has masks a word for each key, from coarse to fine.
+    A finer level takes the hot keys of the one before, so it must lose no pair of theirs; the hot keys of the
+    last one are compared block by block (``hot_links``).
+    """
+    names = [f"w{k}" for k in range(words)]
+
+    def keyed(df: DataFrame, masks: list[list[int]], *above) -> DataFrame:
+        signed = lambda m: m - 2**64 if m >= 2**63 else m
+        keys = [F.xxhash64(F.lit(t), *above, *[F.col(n).bitwiseAND(F.lit(signed(m)).cast("long")) for n, m in zip(names, ms, strict=True)]) for t, ms in enumerate(masks)]
+        return df.select(F.explode(F.array(*keys)).alias("key"), "node", *names, F.lit(1).cast("long").alias("weight"))
 
     found, todo = None, keyed(nodes, levels[0])
     for depth in range(len(levels)):
-        sizes = checkpoint(todo.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > GROUP_ROWS))
-        more = None
-        if not sizes.isEmpty():
-            todo = checkpoint(todo)
-            more = todo.join(sizes, "key")
-            todo = todo.join(sizes, "key", "left_anti")
-        part = links_of(todo)
+        part, more = sorted_out(todo, words, radius)
         found = part if found is None else found.unionByName(part)
         if more is None:
             return found.distinct()
         if depth + 1 < len(levels):
             todo = keyed(more, levels[depth + 1], F.col("key"))
-    found = found.unionByName(links_of(more.withColumn("key", F.xxhash64("key", _block(F.col("n"), "key", "node")))))
-    found = checkpoint(found.distinct())
-    return found.unionByName(links_of(block_pairs(more, components(found)))).distinct()
+    return hot_links(found, more, words, radius)
+
+
+def sorted_out(groups: DataFrame, words: int, radius: int, similarity: float = 0.0) -> tuple[DataFrame, DataFrame | None]:
+    """The links of groups that weigh up to ``GROUP_ROWS``, and the rows of the others with their group's weight ``n``."""
+    sizes = checkpoint(groups.groupBy("key").agg(F.sum("weight").alias("n")).where(F.col("n") > GROUP_ROWS))
+    if sizes.isEmpty():
+        return links_of(groups, words, radius, similarity), None
+    groups = checkpoint(groups)
+    return links_of(groups.join(sizes, "key", "left_anti"), words, radius, similarity), groups.join(sizes, "key")
+
+
+def hot_links(found: DataFrame, hot: DataFrame, words: int, radius: int, similarity: float = 0.0) -> DataFrame:
+    """``found`` and the links of groups too heavy for one task (``key, node, w0 .., weight, n``).
+
+    First each block of a group is linked by itself; then one row of each component, in blocks again, which makes
+    one component of a family however many blocks it fills; then every pair of blocks that may have more to add.
+    """
+    hot = checkpoint(hot)
+    dealt = lambda df, salt: df.withColumn("key", F.xxhash64("key", _block(F.col("n"), F.lit(salt), "key", "node")))
+    found = checkpoint(found.unionByName(links_of(dealt(hot, 0), words, radius, similarity)).distinct())
+    leads = hot.join(components(found), "node", "left_anti").drop("n")
+    leads = leads.join(leads.groupBy("key").agg(F.sum("weight").alias("n")), "key")
+    found = checkpoint(found.unionByName(links_of(dealt(leads, 1), words, radius, similarity)).distinct())
+    return found.unionByName(links_of(block_pairs(hot, components(found)), words, radius, similarity)).distinct()
 
 
-def _block(n, *by: str):
-    """A block of about ``GROUP_ROWS / 2`` of ``n`` rows: two of them make a group."""
+def _block(n, *by):
+    """A block of about ``GROUP_ROWS / 2`` of a weight of ``n``: two of them make a group."""
     return F.pmod(F.xxhash64(*by, F.lit(5)), F.ceil(n * 2 / GROUP_ROWS))
 
 
 def block_pairs(hot: DataFrame, roots: DataFrame) -> DataFrame:
-    """The rows of ``hot`` (``key, node, w0 .., n``) once for each pair of blocks of their key, ``key`` naming the pair.
+    """The rows of ``hot`` (``key, node, w0 .., weight, n``) once for each pair of blocks of their key, ``key`` naming the pair.
 
     ``roots`` (``node, root``) are the components known so far. A component with more than half of
-    ``GROUP_ROWS`` rows in a key has blocks of its own, the others share the rest by a hash of the node. Two
+    ``GROUP_ROWS`` in a key has blocks of its own, the others share the rest by a hash of the node. Two
     blocks of one component have nothing to add; every other pair of blocks, and every mixed block with
     itself, is a group. So a large family costs its rows times the blocks of what isn't in it yet.
     """
-    words = [c for c in hot.columns if c not in ("key", "node", "n")]
-    rooted = hot.drop("n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    large = rooted.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n_root")).where(F.col("n_root") > GROUP_ROWS // 2)
-    rest = checkpoint(rooted.join(large, ["key", "root"], "left").join(hot.groupBy("key").agg(F.first("n").alias("n")), "key"))
+    held = [c for c in hot.columns if c not in ("key", "node", "n", "weight")]
+    rooted = hot.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    large = rooted.groupBy("key", "root").agg(F.sum("weight").alias("n_root")).where(F.col("n_root") > GROUP_ROWS // 2)
     own = F.col("n_root").isNotNull()
     of = F.when(own, F.col("root"))
     block = F.when(own, _block(F.col("n_root"), "node")).otherwise(_block(F.col("n"), "node"))
-    rows = checkpoint(rest.select("key", "node", *words, of.alias("of"), F.xxhash64(of.isNull(), of, block).alias("block")))
+    rows = checkpoint(rooted.join(large, ["key", "root"], "left").select("key", "node", *held, of.alias("of"), F.xxhash64(of.isNull(), of, block).alias("block")))
     blocks = rows.select("key", "of", "block").distinct()
     one, other = (blocks.select("key", F.col("of").alias(f"of_{x}"), F.col("block").alias(f"block_{x}")) for x in "ab")
     new = ~F.coalesce(F.col("of_a") == F.col("of_b"), F.lit(False))
     pairs = one.join(other, "key").where((F.col("block_a") <= F.col("block_b")) & new)
     pairs = pairs.withColumn("pair", F.xxhash64("key", "block_a", "block_b"))
     sides = pairs.select("key", F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"), "pair")
-    return rows.join(sides, ["key", "block"]).select(F.col("pair").alias("key"), "node", *words)
+    return rows.join(sides, ["key", "block"]).select(F.col("pair").alias("key"), "node", *held)
 
 
 # -- components -----------------------------------------------------------------------------
@@ -356,6 +464,45 @@ def components(links: DataFrame) -> DataFrame:
         links = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
 
 
+# -- verification ---------------------------------------------------------------------------------
+
+
+def occurrences(h: np.ndarray) -> np.ndarray:
+    """Sorted hashes of the shingles with their number among equal ones: sets whose Jaccard similarity is the weighted one."""
+    h = np.sort(h)
+    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    nth = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
+    with np.errstate(over="ignore"):
+        return np.sort(remix(h + nth.astype(np.uint64) * np.uint64(_BASE), 3))
+
+
+def verified_links(docs: DataFrame, roots: DataFrame, shingle_words: int, words: int, radius: int, similarity: float) -> DataFrame:
+    """``u, v`` links of nodes of one component (``roots``: ``node, root``) whose texts are at least ``similarity`` similar.
+
+    Only texts of components with more than one node are read again. A component is a group; one that is too
+    heavy for a task is compared block by block.
+    """
+    names = [f"w{k}" for k in range(words)]
+    members = checkpoint(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                hashes = [shingle_hashes(t, shingle_words) for t in part.column(1).to_pylist()]
+                sets = [occurrences(h).tobytes() for h in hashes]
+                prints = [simhash(h, words) for h in hashes]
+                columns = [part.column(2), part.column(0), *[pa.array([f[k] for f in prints], pa.int64()) for k in range(words)]]
+                marks = pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*columns, marks, pa.array(sets, pa.binary())], ["key", "node", *names, "mark", "shingles"])
+
+    texts = id_and_text(docs).join(small_side(members.select(F.col("node").alias("doc_id"), "root")), "doc_id").select("doc_id", "text", "root")
+    rows = texts.mapInArrow(run, f"key long, node long, {', '.join(f'{n} long' for n in names)}, mark long, shingles binary")
+    once = rows.groupBy("key", "node", *names, "mark").agg(F.first("shingles").alias("shingles"))  # rows that repeat an id and its text
+    weighed = once.withColumn("weight", F.lit(1) + F.floor(F.octet_length("shingles") / ROW_WEIGHT)).drop("mark")
+    found, hot = sorted_out(checkpoint(weighed), words, radius, similarity)
+    return found.distinct() if hot is None else hot_links(found, hot, words, radius, similarity)
+
+
 # -- the operator -----------------------------------------------------------------------------
 
 
@@ -365,46 +512,51 @@ def near_duplicate_groups(
     words: int = 1,
     radius: int = 4,
     sampled: tuple[int, int] | None = None,
+    similarity: float | None = None,
 ) -> DataFrame:
     """``doc_id, w0 .., component_id``: component_id is the least doc_id reachable by links.
 
-    Texts link if their fingerprints (64 * ``words`` bits) differ in ``radius`` bits or fewer.
-    With ``sampled`` None (one word only) every such pair is found. ``sampled=(bits, tables)``
+    Texts link if their fingerprints (64 * ``words`` bits) differ in ``radius`` bits or fewer and, with
+    ``similarity``, if the weighted Jaccard similarity of their shingles, repeats counted, is that or more.
+    With ``sampled`` None (one word only) every pair within the radius is found. ``sampled=(bits, tables)``
     keys longer fingerprints by that many random choices of bits, for radii too wide for a cover;
     a pair at a share p of differing bits is then found with probability 1 - (1 - (1-p)^bits)^tables,
     however many rows share its keys.
 
-    Null and blank texts have fingerprint zero and link like any other. Rows that share a doc_id
-    are one node; a null doc_id takes no part as a root and gets the component of its fingerprint
+    Null and blank texts have fingerprint zero and no shingles and link like any other; very long texts count whole.
+    Rows that share a doc_id are one node; a null doc_id takes no part as a root and gets the component of its fingerprint
     (null if no row with an id has it). Repeated rows stay. An empty table gives no rows.
     """
     names = [f"w{k}" for k in range(words)]
-    prints = checkpoint(fingerprints(docs, shingle_words, words))
-    nodes = checkpoint(prints.groupBy(*names).agg(F.min("doc_id").alias("node")))
-    known = nodes.where(F.col("node").isNotNull())
+    prints = checkpoint(fingerprints(docs, shingle_words, words, with_text=similarity is not None))
+    same_text = [c for c in prints.columns if c != "doc_id"]
+    nodes = checkpoint(prints.groupBy(*same_text).agg(F.min("doc_id").alias("node")))
+    known = nodes.where(F.col("node").isNotNull()).select("node", *names)
     if sampled is None:
         levels = [[[m] for m in masks] for masks in covers(radius, known.count())]
     else:
         bits, tables = sampled
         levels = [sampled_masks(words, bits, tables)]
     roots = components(near_links(known, words, radius, levels))
-    named = nodes.join(roots, "node", "left").select(*[F.col(n).alias(f"r_{n}") for n in names], F.coalesce("root", "node").alias("component_id"))
+    if similarity is not None:
+        roots = components(verified_links(docs, roots, shingle_words, words, radius, similarity))
+    named = nodes.join(roots, "node", "left").select(*[F.col(n).alias(f"r_{n}") for n in same_text], F.coalesce("root", "node").alias("component_id"))
     same = F.lit(True)
-    for n in names:
+    for n in same_text:
         same = same & (F.col(n) == F.col(f"r_{n}"))
     return prints.join(named, same).select("doc_id", *names, "component_id")
 
 
-def one_of_each_group(docs: DataFrame, shingle_words: int = 5, words: int = 4, radius: int = 48, sampled: tuple[int, int] | None = (14, 96)) -> DataFrame:
+def one_of_each_group(
+    docs: DataFrame, shingle_words: int = 5, words: int = 4, radius: int = 56, sampled: tuple[int, int] | None = (14, 96), similarity: float | None = 0.8
+) -> DataFrame:
     """The rows of the least doc_id of each group of near-duplicates, with all their columns.
 
-    The defaults stand for five-word shingles and a similarity of 0.8: two texts that similar differ in
-    39 of 256 bits on average, with a standard deviation of 5.7, so 48 bits take in 19 of 20 pairs that lie
-    exactly there; a key of 14 bits in 96 tables finds 99.6 % of pairs at 48 bits and all but one in 20,000 at 39.
-    Rows without an id stay; rows that repeat an id are one document and stay or go together.
+    The defaults take five-word shingles and a similarity of 0.8. Two texts that similar differ in
+    39 of 256 bits on average, with a standard deviation of 5.7, so 56 bits propose all but 1 in 700 of the pairs that lie exactly
+    there; keys of 14 bits in 96 tables miss about 1 in 1,000 of them. Above 0.85 next to nothing is lost, and no pair below 0.8 links.
+    Rows without an id stay; rows that repeat an id are one document and stay or go together. An empty table gives no rows.
     """
-    groups = near_duplicate_groups(docs.where(F.col("doc_id").isNotNull()), shingle_words, words, radius, sampled)
-    keep = groups.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.select(F.struct("*").alias("row")).withColumn("doc_id", F.col("row.doc_id").cast("long"))
-    found = rows.join(keep, "doc_id", "left_semi").unionByName(rows.where(F.col("doc_id").isNull()))
-    return found.select("row.*")
+    groups = near_duplicate_groups(docs.where(F.col("doc_id").isNotNull()), shingle_words, words, radius, sampled, similarity)
+    gone = checkpoint(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct())
+    return docs.select(F.struct("*").alias("row")).join(small_side(gone), F.col("row.doc_id").cast("long") == F.col("gone_id"), "left_anti").select("row.*")
