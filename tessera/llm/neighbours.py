@@ -1,16 +1,17 @@
 """Approximate nearest neighbours by cosine: NN-descent builds a graph, greedy search answers.
 
 Equal vectors fold into one node first, so a vector that a third of all rows share is one node, not a
-group. The graph starts from random groups of ``GROUP`` nodes, each held against itself. Every
-round then joins neighbours of neighbours: each node gathers its neighbours and those that list it,
+group. The graph starts from groups of about ``GROUP`` nodes on one side of the same random hyperplanes, each
+held against itself. Every round then joins neighbours of neighbours: each node gathers its neighbours and those that list it,
 compares the pairs that have a new one, and proposes each member to the others where it beats their
 worst neighbour. A node that many list is cut into blocks of about ``BLOCK`` of these, each compared
 with itself and with the node's own neighbours, so no task gets all of them. Proposals meet in one
-shuffle by node and the best ``k`` stay.
+shuffle by node and the best ``k`` stay, until few edges are new.
 
-A search keeps a beam for each query. Each round expands its best nodes that aren't expanded yet, by joins
-with the graph, and scores the new ones; it ends when all of the beam is expanded. The best found are
-scored again in double precision on the original vectors.
+A search keeps one row a query: a beam of the best nodes so far, each open until its neighbours were scored. Each round
+sends the best open nodes to the graph, which holds the neighbours with their vectors and is partitioned by node once, and
+what beats the beam's worst comes back. A node that fell out of the beam can't beat it again, so nothing else is
+remembered. It ends when no beam has an open node. The best found are scored again in double precision on the original vectors.
 
 In the joins a vector travels as bytes (8 bits a component) with one scale.
 """
@@ -24,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint
+from tessera.llm.common import checkpoint, small_side
 
-GROUP = 256
+GROUP = 1024
 BLOCK = 48
 SALTS = 64
 
@@ -40,6 +41,11 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where("vec_id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')) and exists(v, x -> x <> 0)")
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """The vector times a power of two that brings its largest component near 1: no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max())[1])
+
+
 def quantised(nodes: DataFrame, dim: int) -> DataFrame:
     """``node, q binary, s float``: ``s * q`` is the unit vector; shorter vectors end in zeros."""
 
@@ -112,10 +118,21 @@ def best(edges: DataFrame, k: int) -> DataFrame:
     return one.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r")
 
 
-def random_start(marks: DataFrame, count: int, k: int, tries: int) -> DataFrame:
-    """The nearest within ``tries`` random groups of each node."""
-    groups = max(1, count // GROUP)
-    tries = 1 if groups == 1 else tries
+def first_graph(marks: DataFrame, count: int, dim: int, k: int, trees: int, seed: int = 23) -> DataFrame:
+    """The nearest within groups of each node: in each of ``trees`` a group shares the sides of random hyperplanes.
+
+    There are as many hyperplanes as leave about ``GROUP`` nodes a group; a larger one is dealt out by a hash of the node.
+    """
+    depth = max(0, int(np.log2(max(1, count / GROUP))))
+    trees = trees if depth else 1
+    planes = np.random.default_rng(seed).normal(size=(dim, trees * depth))
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ones = matrix(batch.column("q"), batch.column("s")) @ planes > 0
+            places = ones.reshape(len(ones), trees, depth) @ (1 << np.arange(depth))
+            keys = (places + (np.arange(trees) << depth)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(keys), pa.list_(pa.int64()))], [*batch.schema.names, "sides"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, 1):
@@ -124,7 +141,7 @@ def random_start(marks: DataFrame, count: int, k: int, tries: int) -> DataFrame:
             for a, b in spans(t, 1):
                 sim = x[a:b] @ x[a:b].T
                 np.fill_diagonal(sim, -2)
-                n = min(k, b - a - 1)
+                n = min(-(-2 * k // trees), k, b - a - 1)
                 if n < 1:
                     continue
                 j = np.argpartition(-sim, n - 1, axis=1)[:, :n]
@@ -132,8 +149,11 @@ def random_start(marks: DataFrame, count: int, k: int, tries: int) -> DataFrame:
                     [pa.array(np.repeat(ids[a:b], n)), pa.array(ids[a:b][j].ravel()), pa.array(np.take_along_axis(sim, j, 1).ravel())], ["node", "nbr", "sim"]
                 )
 
-    draw = F.explode(F.array(*[F.pmod(F.xxhash64("node", F.lit(t)), F.lit(groups)) * F.lit(tries) + F.lit(t) for t in range(tries)]))
-    found = marks.select(draw.alias("g"), "node", "q", "s").repartition("g").sortWithinPartitions("g").mapInArrow(run, "node long, nbr long, sim float")
+    placed = marks.mapInArrow(sides, "node long, q binary, s float, sides array<long>")
+    large = placed.select(F.explode("sides").alias("side")).groupBy("side").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 2 * GROUP)
+    rows = placed.select(F.explode("sides").alias("side"), "node", "q", "s").join(small_side(checkpoint(large)), "side", "left")
+    part = F.pmod(F.xxhash64("node", "side"), F.coalesce(F.ceil(F.col("n") / GROUP), F.lit(1)))
+    found = rows.select(F.xxhash64("side", part).alias("g"), "node", "q", "s").repartition("g").sortWithinPartitions("g").mapInArrow(run, "node long, nbr long, sim float")
     return best(found.withColumn("fresh", F.lit(True)), k)
 
 
@@ -162,72 +182,85 @@ def descend(graph: DataFrame, marks: DataFrame, k: int) -> DataFrame:
                 out.append((ids[a:b][i], ids[a:b][j], sim[i, j]))
             if out:
                 node, nbr, sim = (np.concatenate(c) for c in zip(*out, strict=True))
+                order = np.lexsort((nbr, node))  # pairs that meet at several nodes go once
+                first = np.ones(len(order), bool)
+                first[1:] = (np.diff(node[order]) != 0) | (np.diff(nbr[order]) != 0)
+                node, nbr, sim = node[order[first]], nbr[order[first]], sim[order[first]]
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(nbr), pa.array(sim)], ["node", "nbr", "sim"])
 
     found = rows.repartition("at", "block").sortWithinPartitions("at", "block").mapInArrow(run, "node long, nbr long, sim float")
-    return best(graph.withColumn("fresh", F.lit(False)).unionByName(found.distinct().withColumn("fresh", F.lit(True))), k)
+    return best(graph.withColumn("fresh", F.lit(False)).unionByName(found.withColumn("fresh", F.lit(True))), k)
 
 
-def build_graph(marks: DataFrame, k: int = 24, rounds: int = 5, tries: int = 4, settled: float = 0.02) -> DataFrame:
+def build_graph(marks: DataFrame, dim: int, k: int = 12, trees: int = 16, settled: float = 0.05) -> DataFrame:
     """``node, nbr, sim, fresh``: each node's ``k`` nearest found.
 
-    Ends after ``rounds`` rounds, or when less than the share ``settled`` of the edges is new.
+    Rounds go on until less than the share ``settled`` of the edges is new; every round with a new edge
+    raises similarities that are bounded, so there is a last one.
     """
-    count = marks.count()
-    graph = checkpoint(random_start(marks, count, k, tries))
-    if count <= 2 * GROUP:  # one group: every node has met every other
-        return graph
-    for _ in range(rounds):
+    graph = checkpoint(first_graph(marks, marks.count(), dim, k, trees))
+    share = 1.0
+    while share >= settled:
         graph = checkpoint(descend(graph, marks, k))
         share = graph.agg(F.avg(F.col("fresh").cast("int"))).first()[0] or 0.0
-        if share < settled:
-            break
     return graph
 
 
 # -- search -------------------------------------------------------------------------------------
 
 
-def search(queries: DataFrame, graph: DataFrame, marks: DataFrame, beam: int = 240, width: int = 60, rounds: int = 10) -> DataFrame:
+def with_vectors(graph: DataFrame, marks: DataFrame) -> DataFrame:
+    """``at, nbrs, qs, ss``: the neighbours of a node, in either direction, with their vectors; hubs have rows of ``BLOCK`` or so."""
+    links = graph.select(F.col("node").alias("at"), "nbr").unionByName(graph.select(F.col("nbr").alias("at"), F.col("node").alias("nbr"))).distinct()
+    sizes = links.groupBy("at").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK)).cast("int").alias("blocks")).where("blocks > 1")
+    links = checkpoint(links.join(sizes, "at", "left").select("at", F.pmod(F.xxhash64("nbr"), F.coalesce("blocks", F.lit(1))).alias("block"), "nbr"))
+    rows = links.join(marks.withColumnRenamed("node", "nbr"), "nbr")
+    held = F.collect_list(F.struct("nbr", "q", "s"))
+    return rows.repartition("at").groupBy("at", "block").agg(held.alias("x")).select("at", F.col("x.nbr").alias("nbrs"), F.col("x.q").alias("qs"), F.col("x.s").alias("ss"))
+
+
+def search(queries: DataFrame, graph: DataFrame, marks: DataFrame, beam: int, width: int) -> DataFrame:
     """``query_id, node, sim``: the best ``beam`` nodes that greedy search finds for each query.
 
     ``queries`` has ``query_id, start, q, s``: where its search begins, and its quantised vector.
+    A beam is an array of ``struct<far, node, open>``, nearest first (``far`` is the negative similarity).
     """
-    links = checkpoint(graph.select("node", "nbr").unionByName(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"))).distinct())
-    targets = marks.select(F.col("node").alias("nbr"), F.col("q").alias("tq"), F.col("s").alias("ts"))
-    asks = checkpoint(queries.select("query_id", "q", "s"))
+    around = with_vectors(graph, marks).persist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = matrix(batch.column("q"), batch.column("s")), matrix(batch.column("tq"), batch.column("ts"))
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("nbr"), pa.array((a * b).sum(axis=1))], ["query_id", "node", "sim"])
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(targets, "nbr").join(asks, "query_id").select("query_id", "nbr", "q", "s", "tq", "ts")
-        return both.mapInArrow(run, "query_id long, node long, sim float").withColumn("open", F.lit(True))
-
-    def ranked(seen: DataFrame) -> DataFrame:
-        return seen.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "node")))
-
-    seen = checkpoint(ranked(scored(queries.select("query_id", F.col("start").alias("nbr")))))
-    for _ in range(rounds):
-        in_beam = seen.where(F.col("open") & (F.col("r") <= beam))
-        turn = in_beam.withColumn("t", F.row_number().over(Window.partitionBy("query_id").orderBy("r"))).where(F.col("t") <= width)
-        front = checkpoint(turn.select("query_id", "node"))
-        if front.isEmpty():
-            break
-        reached = front.join(links, "node").select("query_id", "nbr").distinct()
-        new = reached.join(seen.select("query_id", F.col("node").alias("nbr")), ["query_id", "nbr"], "left_anti")
-        closed = seen.join(front.withColumn("shut", F.lit(True)), ["query_id", "node"], "left")
-        seen = checkpoint(ranked(closed.select("query_id", "node", "sim", (F.col("open") & F.col("shut").isNull()).alias("open")).unionByName(scored(new))))
-    return seen.where(F.col("r") <= beam).select("query_id", "node", "sim")
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            for query, q, s, least, nbrs, qs, ss in zip(*[batch.column(c) for c in ("query_id", "q", "s", "least", "nbrs", "qs", "ss")], strict=True):
+                own = np.frombuffer(q.as_py(), np.int8).astype(np.float64)
+                others = np.frombuffer(b"".join(qs.as_py()), np.int8).reshape(-1, len(own)).astype(np.float64)
+                sim = (others @ own * (np.array(ss.values, np.float64) * s.as_py())).astype(np.float32)  # whole numbers: the same in any order
+                at = np.flatnonzero(sim > least.as_py())
+                out.append((np.full(len(at), query.as_py()), np.array(nbrs.values)[at], sim[at]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "nbr", "sim"])
+
+    one = F.array(F.struct(F.lit(-1.0).cast("float").alias("far"), F.col("start").alias("node"), F.lit(True).alias("open")))
+    state = checkpoint(queries.select("query_id", "q", "s", one.alias("beam")))
+    while not state.where(F.exists("beam", lambda x: x["open"])).isEmpty():
+        turn = F.transform(F.slice(F.filter("beam", lambda x: x["open"]), 1, width), lambda x: x["node"])
+        state = state.withColumn("turn", turn)
+        least = F.when(F.size("beam") >= beam, -F.element_at("beam", -1)["far"]).otherwise(F.lit(-2.0)).cast("float")
+        front = state.select("query_id", "q", "s", least.alias("least"), F.explode("turn").alias("at"))
+        scored = front.join(around, "at").select("query_id", "q", "s", "least", "nbrs", "qs", "ss").mapInArrow(run, "query_id long, nbr long, sim float")
+        new = scored.groupBy("query_id").agg(F.collect_set(F.struct((-F.col("sim")).alias("far"), F.col("nbr").alias("node"), F.lit(True).alias("open"))).alias("new"))
+        seen = F.transform("beam", lambda x: x["node"])
+        shut = F.transform("beam", lambda x: F.struct(x["far"].alias("far"), x["node"].alias("node"), (x["open"] & ~F.array_contains(F.col("turn"), x["node"])).alias("open")))
+        fresh = F.filter(F.coalesce("new", F.array().cast(state.schema["beam"].dataType)), lambda x: ~F.array_contains(F.col("seen"), x["node"]))
+        merged = state.join(new, "query_id", "left").withColumn("seen", seen).withColumn("beam", F.slice(F.sort_array(F.concat(shut, fresh)), 1, beam))
+        state = checkpoint(merged.select("query_id", "q", "s", "beam"))
+    around.unpersist()
+    return state.select("query_id", F.inline("beam")).select("query_id", "node", (-F.col("far")).alias("sim"))
 
 
 # -- the operator -------------------------------------------------------------------------------
 
 
-def nearest(vectors: DataFrame, every: int = 50, top: int = 5, k: int = 24, beam: int = 240, width: int = 60) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, top: int = 5, k: int = 12, beam: int = 200, width: int = 50) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``top`` nearest found of each row whose id ``every`` divides.
 
     Candidates are all rows but the query's own; ties go to the smaller vec_id. Rows whose vector is
@@ -242,7 +275,7 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, k: int = 24, beam
     if dim is None:
         return members.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     marks = checkpoint(quantised(nodes, dim))
-    graph = build_graph(marks, k)
+    graph = build_graph(marks, dim, k)
     members = checkpoint(members)
     asks = members.where(F.col("vec_id") % every == 0)
     starts = asks.select("node").distinct()  # one search for all queries with one vector
@@ -258,7 +291,7 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, k: int = 24, beam
         for batch in batches:
             sims = []
             for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = np.array(a.values), np.array(b.values)
+                x, y = scaled(np.array(a.values)), scaled(np.array(b.values))
                 n = min(len(x), len(y))
                 sims.append(float(x[:n] @ y[:n]) / float(np.sqrt(x @ x) * np.sqrt(y @ y)))
             yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("node"), pa.array(sims, pa.float64())], ["query_id", "node", "score"])
