@@ -16,6 +16,10 @@ a candidate. Some section is at least about as similar as the whole, wherever th
 At similarity 0.8 two fingerprints differ in 10 bits on average (standard deviation 3), so the
 default radius of 15 finds about 97 % of the pairs that lie exactly there, and more above.
 
+A window that shares no shingle with any item has similarity 0 with all of them, so windows are only made
+where a text has a shingle that some item has, as far as the widest window reaches from there. This leaves
+out no match. An item of fewer than 5 words is found where its words follow each other in a text.
+
 Items are read in blocks of bounded bytes, each broadcast and held against every text; the texts
 are neither shuffled nor collected, and hot texts or sources make no group.
 """
@@ -97,10 +101,17 @@ class Items:
         self.radius, self.similarity = radius, similarity
         self.ids: list[int] = []
         self.parts: list[tuple[np.ndarray, np.ndarray, int]] = []
+        #: Items of fewer words than a shingle: number of words -> hash of them -> items.
+        self.few: dict[int, dict[int, list[int]]] = {}
         by_size: dict[int, list[tuple[int, int, int]]] = {}
         for item_id, text in items:
             h, _ = word_shingles([text], SHINGLE)
             if not len(h):
+                if words := len(text.encode().split()):
+                    own = int(word_shingles([text], words)[0][0])
+                    self.few.setdefault(words, {}).setdefault(own, []).append(len(self.ids))
+                    self.ids.append(item_id)
+                    self.parts.append((h, h, 0))
                 continue
             size = window_size(len(h))
             for start in section_starts(len(h)):
@@ -110,6 +121,9 @@ class Items:
             self.parts.append((*np.unique(h, return_counts=True), len(h)))
         self.marks = {size: (np.array([m for m, _, _ in found], np.uint64), np.array([k for _, k, _ in found]), np.array([at for _, _, at in found])) for size, found in sorted(by_size.items())}
         self.widest = max(by_size, default=0)
+        self.shingles = np.unique(np.concatenate([values for values, _, _ in self.parts])) if self.parts else np.empty(0, np.uint64)
+        #: Bits that tell most other shingles apart before the exact lookup.
+        self.head = np.uint64(64 - max(16, len(self.shingles).bit_length() + 4))
         self._tables: dict[int, np.ndarray] = {}
 
     def __getstate__(self):
@@ -126,6 +140,27 @@ class Items:
             self._tables[size] = out
         return self._tables[size]
 
+    def known(self, h: np.ndarray) -> np.ndarray:
+        """Places of the hashes that some item has."""
+        if -1 not in self._tables:
+            heads = np.zeros(1 << 64 - int(self.head), bool)
+            heads[self.shingles >> self.head] = True
+            self._tables[-1] = heads
+        at = np.flatnonzero(self._tables[-1][h >> self.head])
+        place = np.minimum(np.searchsorted(self.shingles, h[at]), len(self.shingles) - 1)
+        return at[self.shingles[place] == h[at]]
+
+    def stretches(self, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first shingle, end, text) of the parts of texts of ``n`` shingles each that a window with a known shingle reaches."""
+        at = self.known(h)
+        ends = np.cumsum(n)
+        text = np.searchsorted(ends, at, side="right")
+        lo, hi = np.maximum(at - self.widest + 1, (ends - n)[text]), np.minimum(at + self.widest, ends[text])
+        new = np.ones(len(at), bool)
+        new[1:] = lo[1:] >= hi[:-1]
+        last = np.append(new[1:], True)[: len(at)]
+        return lo[new], hi[last], text[new]
+
     def candidates(self, h: np.ndarray, real: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(start, item, start of the section in the item) of windows within the radius; starts may lie before a text's first shingle.
 
@@ -196,26 +231,40 @@ class Items:
     def scan(self, texts: list[str]) -> list[dict[int, tuple[float, int, int]]]:
         """For each text: item -> (best similarity, its first start, number of windows that match)."""
         out: list[dict[int, tuple[float, int, int]]] = [{} for _ in texts]
+        for words, items in self.few.items():
+            found, n = word_shingles(texts, words)
+            first = np.cumsum(n) - n
+            at = np.flatnonzero(np.isin(found, np.array(list(items), np.uint64)))
+            for p, d in zip(at.tolist(), np.searchsorted(np.cumsum(n), at, side="right").tolist(), strict=True):
+                for k in items[int(found[p])]:
+                    _, start, count = out[d].get(k, (1.0, p - int(first[d]), 0))
+                    out[d][k] = (1.0, start, count + 1)
         if not self.marks:
             return out
         found, n = word_shingles(texts, SHINGLE)
-        begin = np.cumsum(n) - n + self.widest * np.arange(1, len(n) + 1)
-        end = begin + n
+        first = np.cumsum(n) - n
+        lo, hi, text = self.stretches(found, n)
+        if not len(lo):
+            return out
+        size = hi - lo
+        begin = np.cumsum(size) - size + self.widest * np.arange(1, len(size) + 1)
+        end = begin + size
+        place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
         h = np.zeros(end[-1] + self.widest, np.uint64)
-        h[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(found))] = found
+        h[place] = found[np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())]
         real = np.zeros(len(h) + 1, np.int64)
-        real[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(len(found)) + 1] = 1
+        real[place + 1] = 1
         real = np.cumsum(real)
-        begins, ends = begin.tolist(), end.tolist()
+        shift = (lo - first[text] - begin).tolist()  # from a place in ``h`` to one in its text
         hits: dict[tuple[int, int], list[int]] = {}
         for at, items, sections in self.candidates(h, real):
-            # a window that begins before its text belongs to the text that it reaches
-            doc = np.searchsorted(end, at, side="right")
-            for s, k, d in zip((at - sections).tolist(), items.tolist(), doc.tolist(), strict=True):
-                if d < len(texts):
-                    hits.setdefault((d, k), []).append(s - begins[d])
+            # a window that begins before its stretch belongs to the one that it reaches
+            stretch = np.searchsorted(end, at, side="right")
+            for s, k, d in zip((at - sections).tolist(), items.tolist(), stretch.tolist(), strict=True):
+                if d < len(size):
+                    hits.setdefault((int(text[d]), k), []).append(s + shift[d])
         for (d, k), starts in hits.items():
-            leak = self.best(h[begins[d] : ends[d]], k, starts)
+            leak = self.best(found[first[d] : first[d] + n[d]], k, starts)
             if leak is not None:
                 out[d][k] = leak
         return out
@@ -236,9 +285,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius
     A text leaks an item if a window of it is at least ``similarity`` similar. ``similarity`` is that
     of the best window, ``start_word`` where it begins (the first of equals), ``n_windows`` how many windows
     match, ``text_key`` the text's xxhash64. Words are split at ASCII white space and A-Z lower-cased.
-    Items of fewer than 5 words can't be told from chance and match nothing, like null items;
-    items with one id and other texts are items each. Null, empty and short texts leak nothing; null ids stay null;
-    repeated rows give rows each. An empty table on either side gives no rows.
+    An item of fewer than 5 words matches, with similarity 1, where its words follow each other. Null items and those
+    without a word match nothing; items with one id and other texts are items each. Null and empty texts leak nothing; very long
+    ones are searched whole; null ids stay null; repeated rows give rows each. An empty table on either side gives no rows.
     """
     found = None
     for block in item_blocks(benchmark):
