@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -256,24 +257,25 @@ def slices(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[pa.RecordBa
 _coders: dict[int, Coder] = {}
 
 
-def coder_of(shared) -> Coder:
-    """One coder for each Python worker and broadcast definition."""
-    if shared.id_key not in _coders:
+def coder_of(shared: Shared) -> Coder:
+    """One coder for each Python worker and definition."""
+    if shared.key not in _coders:
         _coders.clear()
-        _coders[shared.id_key] = Coder(shared.value.value)
-    return _coders[shared.id_key]
+        _coders[shared.key] = Coder(shared.value.value)
+    return _coders[shared.key]
 
 
 class Shared:
-    """A broadcast with a key that survives pickling."""
+    """A broadcast, and a digest of what it holds that tells a worker whether it has made use of it before."""
 
-    def __init__(self, value):
-        self.value, self.id_key = value, id(value)
+    def __init__(self, value, key: int = 0):
+        self.value, self.key = value, key
 
 
 def _definition(docs: DataFrame, vocabulary: str) -> Shared:
     with open(vocabulary, encoding="utf-8") as file:
-        return Shared(docs.sparkSession.sparkContext.broadcast(file.read()))
+        text = file.read()
+    return Shared(docs.sparkSession.sparkContext.broadcast(text), xxhash.xxh64_intdigest(text.encode()))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
@@ -314,7 +316,8 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, with_ids: bool = False)
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``) in one pass over the texts.
 
     Each text is encoded, its ids decoded, and both digested in the same task, so no ids are
-    shuffled. Empty and null texts give zero tokens and the digests of nothing.
+    shuffled. Empty and null texts give zero tokens and the digests of nothing; very long ones are encoded whole.
+    Null ids stay null, repeated rows give rows each, an empty table gives no rows; other columns don't matter.
     """
     shared = _definition(docs, vocabulary)
 

@@ -82,6 +82,19 @@ def per_class_sample(rows: DataFrame, label: str, per_class: int, seed: int = 7)
     return rows.join(F.broadcast(counts), label).where(draw < share).drop("__n")
 
 
+def bounded(sample: DataFrame, size: Column, most_bytes: int, seed: int = 9) -> DataFrame:
+    """The distinct rows of a sample, or a share of them chosen by a hash, so that ``size`` adds up to about ``most_bytes``.
+
+    A sample is bounded in rows; texts of any length, and rows that repeat an id, make this bound necessary before it is collected.
+    """
+    rows = checkpoint(sample.distinct())
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    if total <= most_bytes:
+        return rows
+    draw = F.pmod(F.xxhash64(*rows.columns, F.lit(seed)), F.lit(1_000_000)) / F.lit(1e6)
+    return rows.where(draw < most_bytes / total)
+
+
 def labelled_text(docs: DataFrame, labels: DataFrame, label: str, learn: Column, per_class: int) -> DataFrame:
     """``doc_id, text, label`` of a bounded sample of the rows that may be learnt from.
 

@@ -76,26 +76,32 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """``docs`` with its text rewritten, and ``__n_lines, __n_dropped``.
+    """``row`` (a struct of all columns of ``docs``, its text rewritten), ``n_lines``, ``n_dropped``.
 
-    Each remaining line keeps its place; lines are joined by a newline. All other columns stay.
+    Each remaining line keeps its place; lines are joined by a newline.
     """
     own = docs.select(F.struct("*").alias("row")).withColumn("whole", F.coalesce(F.col("row.text").cast("string"), F.lit(""))).withColumn("key", F.xxhash64("whole"))
-    marks = bitmaps.select(F.col("doc_id").alias("mark_doc"), F.col("text_key").alias("mark_key"), F.col("n_dropped").alias("n"), "words")
-    joined = own.join(marks, (F.col("row.doc_id").cast("long") == F.col("mark_doc")) & (F.col("key") == F.col("mark_key")), "left")
-    lines = "split(whole, '\\n', -1)"
-    kept = (
-        joined.withColumn("map", F.expr("map_from_entries(words)"))
-        .withColumn("bits", F.expr(f"transform(sequence(0, cast((size({lines}) - 1) div 64 as int)), w -> coalesce(map[w], 0L))"))
-        .withColumn("kept", F.expr(f"if(words is null, whole, array_join(filter({lines}, (x, i) -> (shiftright(bits[cast(i div 64 as int)], i % 64) & 1L) = 0L), '\\n'))"))
-    )
+    marks = bitmaps.select(F.col("doc_id").alias("mark_doc"), F.col("text_key").alias("mark_key"), F.col("n_dropped").alias("n"), F.map_from_entries("words").alias("marks"))
+    joined = own.join(marks, (F.col("row.doc_id").cast("long") == F.col("mark_doc")) & (F.col("key") == F.col("mark_key")), "left").withColumn("lines", F.split("whole", "\n", -1))
+    stays = "filter(lines, (x, i) -> (shiftright(coalesce(marks[cast(i div 64 as int)], 0L), i % 64) & 1L) = 0L)"
+    kept = joined.withColumn("kept", F.when(F.col("marks").isNull(), F.col("whole")).otherwise(F.array_join(F.expr(stays), "\n")))
     return kept.select(
-        *[F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns],
-        F.expr(f"cast(size({lines}) as long)").alias("__n_lines"),
-        F.coalesce("n", F.lit(0).cast("long")).alias("__n_dropped"),
+        F.struct(*[F.col("kept").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]).alias("row"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.coalesce("n", F.lit(0).cast("long")).alias("n_dropped"),
     )
 
 
-def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """The documents with repeated lines dropped, and ``__n_lines, __n_dropped`` counts."""
+def dedup_rows(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+    """``row, n_lines, n_dropped``: the documents with repeated lines dropped, whatever their columns are called.
+
+    Null and empty texts are one empty line; very long texts count whole; of documents that tie for a line the smallest id keeps it,
+    in every row that has this id. Rows with a null id lose nothing. An empty table gives no rows.
+    """
     return apply_bitmaps(docs, drop_bitmaps(docs, min_chars))
+
+
+def line_dedup(docs: DataFrame, min_chars: int = 10) -> DataFrame:
+    """``dedup_rows`` with the columns of ``docs`` side by side and ``__n_lines, __n_dropped``, which replace columns of these names."""
+    own = [c for c in docs.columns if c.lower() not in ("__n_lines", "__n_dropped")]
+    return dedup_rows(docs, min_chars).select(*[F.col(f"row.`{c}`").alias(c) for c in own], F.col("n_lines").alias("__n_lines"), F.col("n_dropped").alias("__n_dropped"))

@@ -34,13 +34,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return kept.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("__n_lines").alias("n_lines"),
-        F.col("__n_dropped").alias("n_dropped"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
-    )
+    kept = line_dedup.dedup_rows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.col("row.text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import textwrap
+import zlib
 
 import duckdb
 import numpy as np
@@ -37,7 +39,7 @@ def odd(spark):
     """Nulls, empty and long texts, repeated rows, a null id, extra columns with the names used inside."""
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "Line that repeats here"), (3, "a"), (3, "a"), (50, None)]
     base = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
-    for name in ("key", "row", "label", "score", "words", "text_key", "node", "__key", "pos"):
+    for name in ("key", "row", "label", "score", "words", "text_key", "node", "__key", "pos", "n_lines", "n_dropped", "gone_id", "mark", "weight", "g", "nth", "size"):
         base = base.withColumn(name, F.lit(1))
     return base
 
@@ -126,6 +128,146 @@ def test_learners_take_odd_inputs(spark, docs, odd, empty):
     assert kept.columns == odd.columns and kept.count() == odd.count()
 
 
+# -- 2, 4, 9: the learners against plain versions ----------------------------------------------------------
+
+
+def test_attention_gradients_are_finite_differences():
+    draw = np.random.default_rng(1)
+    sizes = np.array([3, 1, 4])
+    starts, x = np.cumsum(sizes) - sizes, draw.normal(size=(8, quality.WIDTH))
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    model = quality.Model()
+    for v in model.p.values():
+        v += draw.normal(0, 0.3, v.shape)
+
+    def loss():
+        p = model.forward(x, starts, sizes)[-1]
+        return float((weight * -(y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / len(y))
+
+    for name, grad in model.gradients(x, starts, sizes, y, weight).items():
+        for at in zip(*[draw.integers(0, n, 6) for n in grad.shape]):
+            kept = model.p[name][at]
+            model.p[name][at] = kept + 1e-5
+            high = loss()
+            model.p[name][at] = kept - 1e-5
+            low = loss()
+            model.p[name][at] = kept
+            assert grad[at] == pytest.approx((high - low) / 2e-5, rel=1e-4, abs=1e-8)
+
+
+def test_word_rows_are_plain_ones():
+    words = ["Word", "ABC", "12.5%", "--", "it's", "end.", "Ünï,", "x" * 60, "١٢", "a1!?", "🙂b"]
+    for w, row in zip(words, quality.word_rows(words, quality.Letters()), strict=True):
+        letters, upper, digits = (sum(map(f, w)) for f in (str.isalpha, str.isupper, str.isdigit))
+        odd, n = sum(not c.isalnum() and c not in ".,;:'-" for c in w), len(w)
+        want = [min(n, 40) / 10, letters / n, upper / n, upper > 1 and upper == letters, digits / n, odd / n, odd == n, w[-1] in ".!?", w[-1] in ",;:", odd >= 2]
+        bits = zlib.crc32(w.lower().strip(".,;:!?").encode())
+        assert row.tolist() == pytest.approx([*map(float, want), *[(bits >> k & 1) * 2 - 1 for k in range(quality.HASHES)]])
+
+
+def test_ftrl_is_the_plain_loop():
+    draw = np.random.default_rng(2)
+    rows = [np.unique(draw.integers(0, 30, 8)).astype(np.uint32) for _ in range(60)]
+    y = np.array([float(5 in r or 7 in r) for r in rows])
+    w, b = toxicity.ftrl(rows, y, epochs=3, alpha=0.5, beta=1.0, l1=0.3, l2=1.0, seed=3)
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+    zb = nb = plain_b = 0.0
+    weight = lambda i: 0.0 if abs(z[i]) <= 0.3 else (0.3 * (1 if z[i] > 0 else -1) - z[i]) / ((1.0 + n[i] ** 0.5) / 0.5 + 1.0)
+    order = np.random.default_rng(3)
+    for _ in range(3):
+        for k in order.permutation(len(rows)).tolist():
+            own = {int(i): weight(int(i)) for i in rows[k]}
+            g = 1 / (1 + math.exp(-(sum(own.values()) + plain_b))) - y[k]
+            for i, wi in own.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.5 * wi
+                n[i] += g * g
+            zb += g - ((nb + g * g) ** 0.5 - nb**0.5) / 0.5 * plain_b
+            nb += g * g
+            plain_b = -zb / ((1.0 + nb**0.5) / 0.5 + 1.0)
+    assert b == pytest.approx(plain_b) and [w[i] for i in range(30)] == pytest.approx([weight(i) for i in range(30)])
+    assert any(w[i] == 0 for i in range(30)) and w[5] > 0 < w[7]
+
+
+def test_toxic_features_are_plain_ones():
+    words = ["one", "Two", "threefold", "one"]
+    crc = lambda t: zlib.crc32(t.encode())
+    mix = lambda x, salt: int(toxicity._mix(np.array([x % 2**64], np.uint64), salt)[0])
+    low = [w.lower() for w in words]
+    want = [mix(crc(w), 1) for w in low] + [mix(crc(w[: toxicity.STEM]), 2) for w in low]
+    want += [mix(crc(a) * 0xD6E8FEB86659FD93 + crc(b), 3) for a, b in zip(low, low[1:])] + [mix(crc(a) * 0xD6E8FEB86659FD93 + crc(b), 4) for a, b in zip(low, low[2:])]
+    assert toxicity.features(" ".join(words)).tolist() == want
+
+
+def test_svm_closes_the_duality_gap():
+    draw = np.random.default_rng(4)
+    rows = []
+    sides = np.where(draw.random(50) < 0.4, 1.0, -1.0)
+    for side in sides:
+        at = np.unique(draw.integers(0, 12, 5) + (6 if side > 0 else 0))
+        rows.append((at, np.full(len(at), 1 / len(at))))
+    w = langid.linear_svm(rows, sides, cost=0.5, epochs=3000)
+    most = 0.5 * 50 / (2 * np.where(sides > 0, (sides > 0).sum(), (sides < 0).sum()))
+    dense = np.zeros((50, len(w)))
+    for k, (i, x) in enumerate(rows):
+        dense[k, i], dense[k, -1] = x, 1
+    loss = np.maximum(0, 1 - sides * (dense @ w))
+    primal = w @ w / 2 + most @ loss
+    # a dual point from the solution: w = sum of alpha * side * x, by least squares within the box
+    alpha = np.clip(np.linalg.lstsq((dense * sides[:, None]).T, w, rcond=None)[0], 0, most)
+    dual = alpha.sum() - ((alpha * sides) @ dense) @ ((alpha * sides) @ dense) / 2
+    assert dual <= primal + 1e-9
+    step = 1e-3  # no direction of the primal goes down
+    for d in draw.normal(size=(200, len(w))) * (np.abs(dense).sum(axis=0) > 0):
+        v = w + step * d / np.linalg.norm(d)
+        assert v @ v / 2 + most @ np.maximum(0, 1 - sides * (dense @ v)) >= primal - 1e-7
+
+
+def test_languages_are_voted_for():
+    draw = random.Random(6)
+    word = lambda letters: "".join(draw.choice(letters) for _ in range(draw.randrange(2, 8)))
+    letters = {"de": "abuvw", "en": "abefg", "nl": "abjkl", "es": "xyzoñ", "fr": "xyzéè", "ja": "かなも"}
+    text = lambda lang, n=30: " ".join(word(letters[lang]) for _ in range(n))
+    langs = [x for x in letters for _ in range(40)]
+    model = langid.Model([langid.frequencies(text(x)) for x in langs], langs)
+    asked = [text(x, n) for x in letters for n in (1, 3, 20)] + ["", "12 ²", text("de", 5) + " " + text("fr", 5)]
+    for t, (got, score) in zip(asked, model.predict(asked), strict=True):
+        i, x = langid.frequencies(t)
+        if not any(map(str.isalpha, t)):
+            assert (got, score) == ("und", 0.0)
+            continue
+        margin = {d: float(w[i] @ x + w[-1]) for d, w in zip(model.duels, model.weights.astype(float), strict=True)}
+
+        def winner(group, names):
+            votes, total = collections.Counter(), collections.Counter()
+            for (g, a, b), m in margin.items():
+                if g == group:
+                    votes[a if m >= 0 else b] += 1
+                    total[a] += m
+                    total[b] -= m
+            return min(names, key=lambda n: (-votes[n], -total[n], n))
+
+        top = winner("", model.members)
+        assert got == winner(top, model.members[top]) and 0 <= score <= 1
+    assert [x for x, _ in model.predict([text(x, 20) for x in letters])] == list(letters)
+
+
+def test_grams_are_plain_ones():
+    words = ["a", "über", "x" * 9, "語", "naïve"]
+    found, n = langid.grams(words)
+    assert n.tolist() == [sum(len(w) + 3 - k for k in range(1, langid.LONGEST + 1) if len(w) + 3 - k > 0) for w in words]
+    for w, part in zip(words, np.split(found, np.cumsum(n)[:-1]), strict=True):
+        assert part.tolist() == langid.grams([w])[0].tolist()  # a word's n-grams don't depend on its neighbours
+    assert len({langid.grams([w])[0].tobytes() for w in words}) == len(words)
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    from tessera.llm.common import bounded
+
+    rows = spark.range(4000).select((F.col("id") % 2000).alias("doc_id"), F.lit("x" * 100).alias("found"))
+    assert bounded(rows, F.octet_length("found"), 10**9).count() == 2000  # rows that repeat count once
+    assert 700 < bounded(rows, F.octet_length("found"), 100_000).count() < 1300
+
+
 # -- 3 -------------------------------------------------------------------------------------------------------
 
 
@@ -144,12 +286,16 @@ def brute_lines(rows):
     return collections.Counter(out)
 
 
-def test_line_dedup_is_brute_force(docs, odd, empty):
+def test_line_dedup_is_brute_force(spark, docs, odd, empty):
     for df in (docs, odd):
         got = line_dedup.line_dedup(df)
         assert got.columns[: len(df.columns)] == df.columns
         assert collections.Counter((r["doc_id"], r["__n_lines"], r["__n_dropped"], r["text"]) for r in got.collect()) == brute_lines([tuple(r) for r in df.select("doc_id", "text").collect()])
     assert line_dedup.line_dedup(empty).count() == 0
+    clash = docs.withColumn("__n_dropped", F.lit("mine")).withColumn("__N_lines", F.lit("mine"))
+    assert line_dedup.line_dedup(clash).columns == [*docs.columns, "__n_lines", "__n_dropped"]
+    assert line_dedup.dedup_rows(clash).where("row.__n_dropped = 'mine' and row.__n_lines = 'mine'").count() == docs.count()
+    assert corpus_pipeline.drop_repeated_lines(spark, clash, SF).columns == clash.columns
 
 
 # -- 5 -------------------------------------------------------------------------------------------------------
@@ -517,28 +663,51 @@ def test_neighbours_odd_vectors(spark):
 # -- 10 --------------------------------------------------------------------------------------------------------
 
 
-def test_sharding_laws(spark, odd, empty):
-    rows = queries.op10_sharding(spark, "/root/testdata/sf0.01").collect()
-    sizes, slots = collections.Counter(), collections.defaultdict(list)
+def check_shards(rows, shards):
+    """Sizes as near as slots allow, slots without a gap, one shard for each virtual slot."""
+    sizes, slots, home = collections.Counter(), collections.defaultdict(list), {}
     for r in rows:
         sizes[r["shard"]] += r["size"]
         slots[r["shard"]].append(r["slot"])
-    assert len(sizes) == 24 and max(sizes.values()) < 1.25 * min(sizes.values())
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert home.setdefault(r["vslot"], r["shard"]) == r["shard"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(sizes) <= set(range(shards))
+    return sizes
+
+
+def test_sharding_is_brute_force(spark, odd, empty):
+    sf = "/root/testdata/sf0.01"
+    rows = queries.op10_sharding(spark, sf).collect()
+    sizes = check_shards(rows, 24)
+    assert len(sizes) == 24 and max(sizes.values()) < 1.25 * min(sizes.values()) and {r["map_version"] for r in rows} == {2}
+    got = collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows)
+    raw = lambda r: (r["text"] or "").encode()
+    assert got == collections.Counter((r["doc_id"], len(raw(r)) + 8, zlib.crc32(raw(r))) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
     placed, _ = sharding.shard(odd, 3)
+    check_shards(placed.collect(), 3)
     assert placed.count() == odd.count() and placed.where("size < 8").isEmpty()
     assert sharding.shard(empty, 3)[0].count() == 0
 
 
-def test_map_grows_into_the_new_shard_only(spark, docs, tmp_path):
-    placed = sharding.place_in_slots(docs)
-    loads = sharding.slot_loads(placed)
-    old = sharding.balanced_map(loads, 8)
-    new = sharding.grown_map(old, loads, 8)
-    assert all(b in (a, 8) for a, b in zip(old, new, strict=True)) and 8 in new
-    for version, m in ((1, old), (2, new)):
-        sharding.save_map(sharding.map_frame(spark, m, loads, version), str(tmp_path))
-    assert spark.read.parquet(str(tmp_path)).groupBy("version").count().count() == 2
+def test_hot_texts_spread(spark):
+    """A third of all rows has one text and no id, another one id and one text."""
+    rows = [(None, "same text"), (7, "the one row")] * 6000 + [(k, f"text {k} " * (k % 9)) for k in range(8, 6008)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 24)[0].collect()
+    sizes = check_shards(got, 24)
+    assert len(got) == len(rows) and max(sizes.values()) < 1.02 * min(sizes.values())
+
+
+def test_map_is_stored_and_grows_into_the_new_shard_only(spark, docs, tmp_path):
+    path = str(tmp_path)
+    loads = sharding.slot_loads(sharding.place_in_slots(docs))
+    sharding.save_map(sharding.map_frame(spark, [0] * sharding.SLOTS, loads, 1), path)
+    rows, _ = sharding.shard(docs, 8, path)
+    sizes = check_shards(rows.collect(), 8)
+    fair = sum(sizes.values()) / 8
+    assert max(sizes.values()) <= fair + max(b for b, _ in loads.values())
+    grown = sharding.grow(rows, path, 8).collect()
+    assert all(r["next_shard"] in (r["shard"], 8) for r in grown) and any(r["next_shard"] == 8 for r in grown)
+    assert {r["version"] for r in spark.read.parquet(path).select("version").distinct().collect()} == {1, 2, 3}
+    assert sharding.slots_of(sharding.load_map(spark, path, 1)) == [0] * sharding.SLOTS
 
 
 # -- the pipeline ------------------------------------------------------------------------------------------------
