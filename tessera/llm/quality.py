@@ -16,49 +16,59 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm.bpe import Shared, slices
-from tessera.llm.common import id_and_text, labelled_text
+from tessera.llm.common import bounded, id_and_text, labelled_text
 
 PASSAGE = 64
 SHAPES, HASHES = 10, 32
 EXTRA = 4
 WIDTH = SHAPES + HASHES + EXTRA
 HIDDEN, GATE = 24, 12
-CACHE_WORDS = 200_000
+CACHE_WORDS, CACHE_LETTERS = 200_000, 4_000_000
 #: Passages scored at once.
 STEP = 20_000
 
 
-def word_row(word: str) -> np.ndarray:
-    """Shape features and signed hashes of a word."""
-    n = len(word)
-    letters = sum(map(str.isalpha, word))
-    upper = sum(map(str.isupper, word))
-    digits = sum(map(str.isdigit, word))
-    odd = sum(not c.isalnum() and c not in ".,;:'-" for c in word)
-    own = np.empty(SHAPES + HASHES, np.float32)
-    own[:SHAPES] = (
-        min(n, 40) / 10,
-        letters / n,
-        upper / n,
-        upper > 1 and upper == letters,
-        digits / n,
-        odd / n,
-        odd == n,
-        word[-1] in ".!?",
-        word[-1] in ",;:",
-        odd >= 2,
-    )
-    bits = zlib.crc32(word.lower().strip(".,;:!?").encode())
-    own[SHAPES:] = [(bits >> k & 1) * 2 - 1 for k in range(HASHES)]
+class Letters:
+    """Kinds of characters by code point, looked up once each: letter, upper case, digit, odd."""
+
+    def __init__(self):
+        self.kinds = np.full(0x110000, 255, np.uint8)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        found = self.kinds[codes]
+        if (found == 255).any():
+            for code in np.unique(codes[found == 255]).tolist():
+                c = chr(code)
+                self.kinds[code] = c.isalpha() | c.isupper() << 1 | c.isdigit() << 2 | (not c.isalnum() and c not in ".,;:'-") << 3
+            found = self.kinds[codes]
+        return found
+
+
+def word_rows(words: list[str], letters: Letters) -> np.ndarray:
+    """Shape features and signed hashes of words (none empty), a row each."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    start, last = np.cumsum(size) - size, codes[np.cumsum(size) - 1]
+    kinds = letters.of(codes)
+    letter, upper, digit, odd = (np.add.reduceat(kinds >> k & 1, start, dtype=np.int64) for k in range(4))
+    ends = lambda marks: np.isin(last, [ord(c) for c in marks])
+    own = np.empty((len(words), SHAPES + HASHES), np.float32)
+    shapes = (np.minimum(size, 40) / 10, letter / size, upper / size, (upper > 1) & (upper == letter), digit / size, odd / size, odd == size, ends(".!?"), ends(",;:"), odd >= 2)
+    for k, x in enumerate(shapes):
+        own[:, k] = x
+    bits = np.fromiter((zlib.crc32(w.lower().strip(".,;:!?").encode("utf-8", "surrogatepass")) for w in words), np.uint32, len(words))
+    own[:, SHAPES:] = (bits[:, None] >> np.arange(HASHES, dtype=np.uint32) & 1).astype(np.float32) * 2 - 1
     return own
 
 
 class Encoder:
-    """Passage vectors of texts; remembers the rows of words it has seen, up to a bound."""
+    """Passage vectors of texts; remembers the rows of words it has seen, up to a bound in words and letters."""
 
     def __init__(self):
+        self.letters, self.held = Letters(), 0
         self.seen: dict[str, int] = {}
         self.rows = np.zeros((0, SHAPES + HASHES), np.float32)
 
@@ -73,16 +83,17 @@ class Encoder:
         found = [t.split() for t in texts]
         every = {w for ws in found for w in ws}
         new = every - self.seen.keys()
-        if len(self.seen) + len(new) > CACHE_WORDS:
-            self.seen, self.rows, new = {}, self.rows[:0], every
+        if len(self.seen) + len(new) > CACHE_WORDS or self.held > CACHE_LETTERS:
+            self.seen, self.rows, self.held, new = {}, self.rows[:0], 0, every
         if new:
-            more = np.stack([word_row(w) for w in new])
-            self.seen.update((w, len(self.rows) + k) for k, w in enumerate(new))
-            self.rows = np.concatenate([self.rows, more])
+            more = list(new)
+            self.seen.update(zip(more, range(len(self.rows), len(self.rows) + len(more)), strict=True))
+            self.rows = np.concatenate([self.rows, word_rows(more, self.letters)])
+            self.held += sum(map(len, more))
         return [self._passages(ws) for ws in found]
 
     def _passages(self, words: list[str]) -> np.ndarray:
-        ids = np.array([self.seen[w] for w in words], np.int64)
+        ids = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
         count = max(1, len(words) // PASSAGE) if len(words) else 0
         out = np.empty((count, WIDTH), np.float32)
         for lo in range(0, count, 256):  # the rows of 256 passages are held at once
@@ -173,10 +184,11 @@ class Model:
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = 3_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality", per_class: int = 3_000, most_bytes: int = 32_000_000) -> Model:
     """Fit on at most about ``per_class`` rows of each label value, where ``learn`` holds.
 
-    Passages are encoded on the executors; the driver gets the passage vectors of the sample.
+    Passages are encoded on the executors; the driver gets the passage vectors of the sample, about ``most_bytes``
+    at most: of a sample that has more, a share chosen by a hash.
     Without rows of both labels the score is the share of label 1 (0.5 if there are no rows).
     """
     encoder = Encoder()
@@ -187,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([b.astype(np.float16).tobytes() for b in bags], pa.binary())], ["doc_id", "label", "bag"])
 
     sample = labelled_text(docs, labels, label, learn, per_class).select("doc_id", "label", "text")
-    rows = sample.mapInArrow(run, "doc_id long, label int, bag binary").toPandas().sort_values("doc_id", kind="stable")
+    rows = bounded(sample.mapInArrow(run, "doc_id long, label int, bag binary"), F.octet_length("bag"), most_bytes).toPandas().sort_values(["doc_id", "bag"], kind="stable")
     rows = rows[rows["bag"].map(len) > 0]
     y = (rows["label"].to_numpy() > 0).astype(float)
     model = Model()
@@ -201,7 +213,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quali
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score`` of every whole text; null, empty and blank texts get the score of no passage.
 
-    Null ids stay null, repeated rows give rows each, an empty table gives no rows.
+    Very long texts are read whole, 256 passages at a time. Null ids stay null, repeated rows give rows each, an empty
+    table gives no rows; other columns don't matter.
     """
     shared = Shared(docs.sparkSession.sparkContext.broadcast(model))
 
