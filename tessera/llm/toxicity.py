@@ -16,8 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, labelled_text
+from tessera.llm.bpe import slices
+from tessera.llm.common import bounded, id_and_text, labelled_text
 
 BUCKET_BITS = 20
 STEM = 4
@@ -103,11 +105,12 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(total, -35, 35))))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = 3_500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", per_class: int = 3_500, most_bytes: int = 24_000_000) -> Model:
     """Fit on at most about ``per_class`` rows of each label value, where ``learn`` holds.
 
-    The features are made on the executors; the driver gets ``2 * per_class`` lists of buckets.
-    Without labelled rows of both kinds the score is the share of toxic rows (0.0 if none).
+    The features are made on the executors; the driver gets ``2 * per_class`` lists of buckets, about ``most_bytes``
+    at most: of a sample that has more, a share chosen by a hash. Null labels and ids teach nothing; rows that repeat count once.
+    Without labelled rows of both kinds the score is 1 or 0, as all labels say, and 0 if there are none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,8 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
             found = [np.unique(features(t.as_py())).tobytes() for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], ["doc_id", "label", "found"])
 
-    rows = labelled_text(docs, labels, label, learn, per_class).select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, found binary").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable")
+    rows = labelled_text(docs, labels, label, learn, per_class).select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, found binary")
+    rows = bounded(rows, F.octet_length("found"), most_bytes).toPandas().sort_values(["doc_id", "found"], kind="stable")
     y = (rows["label"].to_numpy() > 0).astype(float)
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(1 << BUCKET_BITS), 35.0 if len(y) and y[0] else -35.0)
@@ -124,19 +127,26 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, score`` of every whole text; null and empty texts get the intercept's score."""
+    """``doc_id, score`` of every whole text, however long; null and empty texts get the intercept's score.
+
+    Null ids stay null, repeated rows give rows each, an empty table gives no rows; other columns don't matter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.score(t.as_py()) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
+            for part in slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([own.score(t.as_py()) for t in part.column(1)], pa.float64())], ["doc_id", "score"])
 
     return id_and_text(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows that score below ``threshold``, with all their columns; a null text counts as empty."""
+    """The rows that score below ``threshold``, with all their columns; a null text counts as empty.
+
+    Rows without an id are scored like others, repeated rows stay or go together, an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
