@@ -94,8 +94,8 @@ STATISTIC_FROM, LOCAL_FROM, LOCAL_UNTIL = 201608170, 201806140, 202012090
 METAL_MARK = 0xF00DCAFE
 METAL = (23, 24)
 
-KEYS = ["file_name", "path_id", "platform"]
-PROGRAMS = "file_name string, path_id bigint, platform int, place int, layout int, kind int, keywords array<string>, local_keywords array<string>, code binary, error string"
+KEYS = ["path", "path_id", "platform"]
+PROGRAMS = "path string, path_id bigint, platform int, place int, layout int, kind int, keywords array<string>, local_keywords array<string>, code binary, error string"
 
 
 def _words(c: Cursor) -> list[str]:
@@ -121,7 +121,7 @@ def _program(c: Cursor) -> tuple:
 
 
 def programs(blobs: DataFrame, endian: str = "<") -> DataFrame:
-    """The programs of rows ``file_name, path_id, platform, engine, blob``, a row each (``PROGRAMS``).
+    """The programs of rows ``path, path_id, platform, engine, blob``, a row each (``PROGRAMS``).
 
     ``place`` is a program's number in its blob, ``local_keywords`` null where the layout has none,
     ``code`` its bytes (of Metal programs what follows the entry's name). A program, or a table of programs, that

@@ -107,7 +107,7 @@ def _arrow(codec: str) -> tuple[Callable[[bytes, int], bytes], Callable[[bytes],
     )
 
 
-#: Codec number -> (decompress(data, size), compress(data)); users may add to it.
+#: Codec number -> (decompress(data, size), compress(data)); ``with_codec`` adds to it.
 CODECS: dict[int, tuple[Callable[[bytes, int], bytes], Callable[[bytes], bytes]]] = {
     0: (lambda data, size: data, lambda data: data),
     1: (lzma_unpack, lzma_pack),
@@ -119,18 +119,22 @@ CODEC_MASK = 0x3F
 CHUNK_BYTES = {2: 1 << 17, 3: 1 << 17}
 
 
-def register_codec(number: int, unpack: Callable[[bytes, int], bytes], pack: Callable[[bytes], bytes]) -> None:
-    CODECS[number] = (unpack, pack)
+Codecs = dict[int, tuple[Callable[[bytes, int], bytes], Callable[[bytes], bytes]]]
 
 
-def unpack(data: bytes, size: int, flags: int) -> bytes:
-    codec = flags & CODEC_MASK
-    if codec not in CODECS:
+def with_codec(number: int, unpack: Callable[[bytes, int], bytes], pack: Callable[[bytes], bytes], codecs: Codecs | None = None) -> Codecs:
+    """The codecs with one more: a value to give to ``assets.files``, which takes it to the tasks."""
+    return {**(codecs or CODECS), number: (unpack, pack)}
+
+
+def unpack(data: bytes, size: int, flags: int, codecs: Codecs | None = None) -> bytes:
+    codec, known = flags & CODEC_MASK, codecs or CODECS
+    if codec not in known:
         raise ValueError(f"codec {CODEC_NAMES.get(codec, codec)} is not available")
-    return CODECS[codec][0](data, size)
+    return known[codec][0](data, size)
 
 
-def pack_chunks(data: bytes, flags: int) -> tuple[bytes, list[tuple[int, int, int]]]:
+def pack_chunks(data: bytes, flags: int, codecs: Codecs | None = None) -> tuple[bytes, list[tuple[int, int, int]]]:
     """Compressed chunks one after another, and (size, compressed size, flags) of each.
 
     A chunk that compression makes no smaller is stored as it is.
@@ -140,7 +144,7 @@ def pack_chunks(data: bytes, flags: int) -> tuple[bytes, list[tuple[int, int, in
     out, table = bytearray(), []
     for at in range(0, len(data), most):
         part = data[at : at + most]
-        packed = CODECS[codec][1](part)
+        packed = (codecs or CODECS)[codec][1](part)
         stored = codec and len(packed) >= len(part)
         table.append((len(part), len(part if stored else packed), flags & ~CODEC_MASK if stored else flags))
         out += part if stored else packed

@@ -7,7 +7,7 @@ import re
 from dataclasses import dataclass, field
 
 from tessera.sources import typetree as tt
-from tessera.sources.binary import CODEC_MASK, CODECS, Cursor, Writer, brotli_pack, brotli_unpack, gunzip, pack_chunks, unpack
+from tessera.sources.binary import CODEC_MASK, CODECS, Codecs, Cursor, Writer, brotli_pack, brotli_unpack, gunzip, pack_chunks, unpack
 
 # Signatures at the head of files, and names that never hold serialized data.
 BUNDLE_SIGNATURES = (b"UnityFS\0", b"UnityWeb\0", b"UnityRaw\0", b"UnityArchive\0")
@@ -77,7 +77,7 @@ def pads_blocks(engine: str) -> bool:
     return v >= (2020,) and v >= first.get(v[0], v)
 
 
-def read_bundle(data: bytes, fallback: str | None = None) -> Bundle:
+def read_bundle(data: bytes, fallback: str | None = None, codecs: Codecs | None = None) -> Bundle:
     c = Cursor(data)
     signature, version, player, engine = c.name(), c.read("u32"), c.name(), c.name()
     if not engine or version_tuple(engine)[:1] in ((), (0,)):
@@ -95,7 +95,7 @@ def read_bundle(data: bytes, fallback: str | None = None) -> Bundle:
     start = c.at
     if flags & BLOCKS_AT_END:
         c.at = len(data) - packed
-    info = Cursor(unpack(c.take(packed), size, flags))
+    info = Cursor(unpack(c.take(packed), size, flags, codecs))
     if flags & BLOCKS_AT_END:
         c.at = start
     info.take(16)
@@ -104,7 +104,7 @@ def read_bundle(data: bytes, fallback: str | None = None) -> Bundle:
     listing = [(*info.read("i64", "i64", "u32"), info.name()) for _ in range(info.read("i32"))]
     if flags & PAD_BLOCKS and pads_blocks(engine):
         c.align(16)
-    whole = b"".join([unpack(c.take(n), raw, f) for raw, n, f in out.blocks])
+    whole = b"".join([unpack(c.take(n), raw, f, codecs) for raw, n, f in out.blocks])
     out.entries = [(path, whole[at : at + n], f) for at, n, f, path in listing]
     return out
 
@@ -130,26 +130,39 @@ def _read_stream(c: Cursor, out: Bundle) -> Bundle:
     return out
 
 
-def write_bundle(b: Bundle, codec: int | None = None) -> bytes:
-    """The bundle's bytes; without ``codec`` it keeps the one it had."""
-    codec = b.flags & CODEC_MASK if codec is None else codec
+# Fixed values: (flags of the file, flags of its blocks) for each packer.
+PACKERS = {"none": (64, 64), "lz4": (194, 2), "lzma": (65, 1)}
+
+
+def write_bundle(b: Bundle, packer: str | tuple[int, int] | int = "original", codecs: Codecs | None = None) -> bytes:
+    """The bundle's bytes (J07): by a packer's name, by flags of the file and of its blocks, by a codec's number, or as it was.
+
+    The listing stands before the blocks, or after them where flag 0x80 says so. Blocks aren't padded.
+    """
+    if packer == "original":
+        packer = (b.flags & ~PAD_BLOCKS | COMBINED, b.flags & CODEC_MASK)
+    elif isinstance(packer, str):
+        packer = PACKERS[packer]
+    flags, block_flags = packer if isinstance(packer, tuple) else (COMBINED | packer, packer)
     whole = b"".join(content for _, content, _ in b.entries)
-    body, blocks = pack_chunks(whole, codec)
+    body, blocks = pack_chunks(whole, block_flags, codecs)
     info = Writer().raw(bytes(16)).put("i32", len(blocks))
     for block in blocks:
         info.put("u32 u32 u16", *block)
     info.put("i32", len(b.entries))
     at = 0
-    for path, content, flags in b.entries:
-        info.put("i64 i64 u32", at, len(content), flags).name(path)
+    for path, content, entry_flags in b.entries:
+        info.put("i64 i64 u32", at, len(content), entry_flags).name(path)
         at += len(content)
-    packed = CODECS[codec][1](bytes(info.out))
-    w = Writer().name("UnityFS").put("u32", b.version).name(b.player).name(b.engine)
+    packed = (codecs or CODECS)[flags & CODEC_MASK][1](bytes(info.out))
+    w = Writer().name(b.signature).put("u32", b.version).name(b.player).name(b.engine)
     place = len(w.out)
-    w.put("i64 u32 u32 u32", 0, len(packed), len(info.out), COMBINED | codec)
+    w.put("i64 u32 u32 u32", 0, len(packed), len(info.out), flags)
+    if b.signature != "UnityFS":
+        w.put("u8", 0)
     if b.version >= 7:
         w.align(16)
-    w.raw(packed).raw(body)
+    w.raw(body + packed if flags & BLOCKS_AT_END else packed + body)
     w.out[place : place + 8] = len(w.out).to_bytes(8, "big")
     return bytes(w.out)
 

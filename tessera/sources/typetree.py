@@ -5,6 +5,7 @@ A tree is a flat list of nodes in depth-first order, each with a level; that is
 
 from __future__ import annotations
 
+import base64
 import re
 from dataclasses import asdict, dataclass, field
 from typing import Any
@@ -60,6 +61,10 @@ class Node:
         return bool(self.meta_flag & ALIGNED)
 
 
+#: Trees of referenced types by class, namespace and assembly.
+Refs = dict[tuple[str, str, str], Node]
+
+
 def link(nodes: list[Node]) -> Node:
     """The root of a flat list, with the children of every node filled in."""
     path: list[Node] = []
@@ -204,7 +209,16 @@ def name_prefix(root: Node) -> Node | None:
 # -- values (C01, C03, C04, J05) --------------------------------------------------------------------------
 
 
-def read_value(node: Node, c: Cursor, refs: dict[tuple[str, str, str], Node] | None = None) -> Any:
+def _referenced(value: dict, refs: Refs | None) -> Node | None:
+    """The tree of the class that a record's ``type`` names (B12); no class: none, an unknown one is an error."""
+    kind = value.get("type") or {}
+    found = (refs or {}).get((kind.get("class", ""), kind.get("ns", ""), kind.get("asm", "")))
+    if kind.get("class") and found is None:
+        raise ValueError(f"no referenced type {kind}")
+    return found
+
+
+def read_value(node: Node, c: Cursor, refs: Refs | None = None) -> Any:
     """The value at the cursor as plain Python: dicts with the nodes' names, lists, scalars, bytes."""
     align = node.aligned
     if node.type in PRIMITIVES:
@@ -229,10 +243,7 @@ def read_value(node: Node, c: Cursor, refs: dict[tuple[str, str, str], Node] | N
         value = {}
         for child in node.children:
             if child.type == "ReferencedObjectData":
-                kind = value.get("type", {})
-                found = (refs or {}).get((kind.get("class", ""), kind.get("ns", ""), kind.get("asm", "")))
-                if kind.get("class") and found is None:
-                    raise ValueError(f"no referenced type {kind}")
+                found = _referenced(value, refs)
                 if found is not None:
                     value[child.name] = read_value(found, c, refs)
             else:
@@ -242,7 +253,7 @@ def read_value(node: Node, c: Cursor, refs: dict[tuple[str, str, str], Node] | N
     return value
 
 
-def write_value(node: Node, value: Any, w: Writer) -> None:
+def write_value(node: Node, value: Any, w: Writer, refs: Refs | None = None) -> None:
     align = node.aligned
     if node.type in PRIMITIVES:
         w.put(PRIMITIVES[node.type][0], value)
@@ -253,20 +264,41 @@ def write_value(node: Node, value: Any, w: Writer) -> None:
         align = True
     elif node.type == "pair":
         for child, part in zip(node.children, (value["first"], value["second"]), strict=True):
-            write_value(child, part, w)
+            write_value(child, part, w, refs)
     elif is_array(node):
         align = align or node.children[0].aligned
         w.put("i32", len(value))
         for x in value:
-            write_value(node.children[0].children[1], x, w)
+            write_value(node.children[0].children[1], x, w, refs)
     else:
         for child in node.children:
-            write_value(child, value[child.name], w)
+            if child.type != "ReferencedObjectData":
+                write_value(child, value[child.name], w, refs)
+            elif (found := _referenced(value, refs)) is not None:
+                write_value(found, value[child.name], w, refs)
     if align:
         w.align(4)
 
 
-def decode(data: bytes, root: Node, order: str = "<", whole: bool = True, refs: dict | None = None) -> Any:
+def from_plain(node: Node, value: Any, refs: Refs | None = None) -> Any:
+    """A value as ``write_value`` takes it, of one that went through JSON: bytes come out of base 64."""
+    if node.type == "TypelessData":
+        return base64.b64decode(value)
+    if node.type == "pair":
+        return {k: from_plain(c, value[k], refs) for k, c in zip(("first", "second"), node.children, strict=True)}
+    if is_array(node):
+        return [from_plain(node.children[0].children[1], x, refs) for x in value]
+    if node.type in PRIMITIVES or node.type == "string":
+        return value
+    out = {}
+    for child in node.children:
+        own = _referenced(value, refs) if child.type == "ReferencedObjectData" else child
+        if own is not None:
+            out[child.name] = from_plain(own, value[child.name], refs)
+    return out
+
+
+def decode(data: bytes, root: Node, order: str = "<", whole: bool = True, refs: Refs | None = None) -> Any:
     c = Cursor(data, order)
     value = read_value(root, c, refs)
     if whole and c.at != len(data):
@@ -274,7 +306,7 @@ def decode(data: bytes, root: Node, order: str = "<", whole: bool = True, refs:
     return value
 
 
-def encode(value: Any, root: Node, order: str = "<") -> bytes:
+def encode(value: Any, root: Node, order: str = "<", refs: Refs | None = None) -> bytes:
     w = Writer(order)
-    write_value(root, value, w)
+    write_value(root, value, w, refs)
     return bytes(w.out)

@@ -16,7 +16,7 @@ def ingest(spark: SparkSession, source: str, target: str, checkpoint: str) -> St
     incoming = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(source)
 
     def write(batch: DataFrame, number: int) -> None:
-        found = assets._flat_map(batch.select("path", "content"), assets.FILES, lambda r: assets.unfold(r["path"], r["path"], r["content"], None))
+        found = assets.unfolded(batch)
         assets.decode(assets.objects(found)).drop("payload").write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return incoming.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -29,7 +29,7 @@ def test_nulls_and_ties(spark):
     assert S.usable_programs(rows.limit(0), "platform", "program").count() == 0
 
 
-BLOBS = "file_name string, path_id bigint, platform int, engine string, blob binary"
+BLOBS = "path string, path_id bigint, platform int, engine string, blob binary"
 METAL = Writer("<").put("u32 i32", S.METAL_MARK, 8).name("main").raw(b"void m() {}").out
 
 
@@ -78,14 +78,14 @@ def test_broken_blobs(spark):
     odd = program(201510240, 1, ["\udcff"], b"")
     astray = Writer("<").put("i32 i32 i32 i32", 1, -9, 0, 0).raw(good).out
     rows = [("a", 1, 0, None, blob(12, [good, bad])), ("b", 1, 0, "", b"\xff\xff\xff\x7f"), ("c", 1, 0, "2020.1.0f1", b""), ("d", 1, 0, "2020.1.0f1", None), ("e", None, None, "2020.1.0f1", blob(12, [])), ("f", 1, 0, None, blob(12, [odd])), ("g", 1, 0, None, bytes(astray))]
-    got = S.programs(spark.createDataFrame(rows, BLOBS)).withColumn("text", S.program_text()).orderBy("file_name", "place").collect()
-    assert [(r.file_name, r.place, r.text, r.error is None) for r in got] == [("a", 0, '"\ufffd"', True), ("a", 1, None, False), ("b", None, None, False), ("c", None, None, False), ("f", 0, 'Keywords { "\ufffd" }\n""', True), ("g", 0, None, False)]
+    got = S.programs(spark.createDataFrame(rows, BLOBS)).withColumn("text", S.program_text()).orderBy("path", "place").collect()
+    assert [(r.path, r.place, r.text, r.error is None) for r in got] == [("a", 0, '"\ufffd"', True), ("a", 1, None, False), ("b", None, None, False), ("c", None, None, False), ("f", 0, 'Keywords { "\ufffd" }\n""', True), ("g", 0, None, False)]
 
 
 def test_fill(spark):
     found = S.programs(spark.createDataFrame([("f", 1, 15, "2020.1.0f1", blob(12, [program(201510240, 1, [], b"zero $1"), program(201510240, 1, [], b"one")]))] * 2, BLOBS))
     rows = [("f", 1, 15, "a\nGpuProgramIndex 1\nb GpuProgramIndex 0\nGpuProgramIndex 7\nGpuProgramIndex x", 9), ("g", 1, 15, "GpuProgramIndex 0", 9), ("h", 1, 15, None, 9), ("i", None, 15, "", 9)]
-    shaders = spark.createDataFrame(rows, "file_name string, path_id bigint, platform int, text string, place int")
-    got = S.fill_programs(shaders, found).orderBy("file_name")
+    shaders = spark.createDataFrame(rows, "path string, path_id bigint, platform int, text string, place int")
+    got = S.fill_programs(shaders, found).orderBy("path")
     assert got.columns == shaders.columns
     assert [r.text for r in got.collect()] == ['a\n"one"\nb "zero $1"\nGpuProgramIndex 7\nGpuProgramIndex x', "GpuProgramIndex 0", None, ""]

@@ -102,26 +102,111 @@ def test_files_to_objects(spark, folder):
 
 
 def test_pointers_container_export(spark, folder):
-    found = assets.files(spark, folder)
-    decoded = assets.decode(assets.objects(found)).persist()
-    links = assets.externals(found)
+    found = assets.files(spark, [folder, folder + "/absent"])
+    every = assets.objects(found)
+    decoded = assets.decode(every).persist()
+    links = assets.resolved(assets.externals(found), found, "target_name")
     assert {r["target_name"] for r in links.collect()} == {"cab-b"}
-    edges = assets.deref(assets.pointers(decoded.where("class_id = 1")), links, assets.objects(found))
-    got = {(r["src_path_id"], r["m_file_id"], r["m_path_id"], r["dst_name"], r["class_id"]) for r in edges.where("src_name = 'cab-a'").collect()}
+    edges = assets.deref(assets.pointers(decoded.where("class_id = 1")), links, every)
+    name = F.lower(F.regexp_extract("dst_path", "([^/]*)$", 1))
+    got = {(r["src_path_id"], r["m_file_id"], r["m_path_id"], r["dst_name"], r["class_id"]) for r in edges.where("src_path LIKE '%CAB-a'").withColumn("dst_name", name).collect()}
     assert got == {(1, 0, 10, "cab-a", 49), (1, 0, 2, "cab-a", 1), (1, 1, 11, "cab-b", 49), (2, 0, 1, "cab-a", 1), (2, 0, 99, "cab-a", None)}
+    path = edges.where("src_path LIKE '%CAB-a'").first()["src_path"]
     reach = R.closure(
-        edges.where("class_id is not null").select(F.struct(F.col("src_name").alias("f"), F.col("src_path_id").alias("p")).alias("src"), F.struct(F.col("dst_name").alias("f"), F.col("m_path_id").alias("p")).alias("dst")),
-        spark.createDataFrame([("cab-a", 1)], "f string, p long").select(F.struct("f", "p").alias("seed")),
+        edges.where("class_id is not null").select(F.struct(F.col("src_path").alias("f"), F.col("src_path_id").alias("p")).alias("src"), F.struct(F.col("dst_path").alias("f"), F.col("m_path_id").alias("p")).alias("dst")),
+        spark.createDataFrame([(path, 1)], "f string, p long").select(F.struct("f", "p").alias("seed")),
     )
-    assert {tuple(r["node"]) for r in reach.collect()} == {("cab-a", 1), ("cab-a", 10), ("cab-a", 2), ("cab-b", 11)}
-    items = assets.container(decoded).where("file_name = 'cab-a'")
+    assert {(r["node"]["f"].rsplit("/")[-1], r["node"]["p"]) for r in reach.collect()} == {("CAB-a", 1), ("CAB-a", 10), ("CAB-a", 2), ("CAB-b", 11)}
+    items = assets.container(decoded).where("path LIKE '%CAB-a'")
     assert [(r["asset_path"], r["m_path_id"]) for r in items.orderBy("pos").collect()] == [("assets/a.txt", 10), ("assets/a.txt", 2)]
     assert R.last_wins(items, "asset_path", ["pos"], ["m_path_id"]).first()["m_path_id"] == 2
     out = assets.manifest(decoded.where("file_name = 'level'"), F.concat_ws("/", "file_name", F.col("path_id")))
     assert {r["dest"]: r["content"] for r in out.collect()}["level/10.txt"] == "text of five"
+    values = assets.deref_decoded(assets.pointers(decoded.where("class_id = 1 and path LIKE '%CAB-a'")), links, every)
+    assert {(r["m_path_id"], r["value"] and "text of four" in r["value"]) for r in values.where("m_file_id = 1").collect()} == {(11, True)}
+    texts = assets.leaves(decoded.where("class_id = 1 and path_id = 1 and path LIKE '%CAB-a'")).where("field = 'm_Component.3.m_PathID' or field = 'm_Name'").orderBy("pos").collect()
+    assert [r["leaf"] for r in texts] == ["11", "root"]
+    back = assets.encode(decoded.where("decode_error IS NULL").select("path", "path_id", "tree", "endian", "refs", "value", F.col("payload").alias("was")))
+    assert back.where("payload IS NULL OR payload <> was OR encode_error IS NOT NULL").count() == 0
+    assert {(r["class_id"], r["class_name"]) for r in assets.types(found).collect()} == {(49, "TextAsset"), (1, "GameObject"), (142, "AssetBundle")}
+    assert assets.objects(found, [142], payloads=False).where("class_name <> 'AssetBundle' OR payload IS NOT NULL").count() == 0
     decoded.unpersist()
 
 
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    """Two folders and two bundles hold files of the same names: a pointer stays one row and finds the file beside it."""
+    for k, where in enumerate(("x", "y")):
+        (tmp_path / where).mkdir()
+        level = ct.write_serialized(fx.serialized(texts=(f"level {where}", "b"), external="archive:/other/other"))
+        (tmp_path / where / "level0").write_bytes(level)
+        (tmp_path / where / "other").write_bytes(ct.write_serialized(fx.serialized(texts=(f"other {where}", f"far {where}"))))
+        (tmp_path / f"{where}.bundle").write_bytes(fx.bundle(("level0", level), ("other", ct.write_serialized(fx.serialized(texts=("q", f"in bundle {where}")))), codec=k))
+    (tmp_path / "cut").write_bytes(ct.write_serialized(fx.serialized())[:900])
+    found = assets.files(spark, str(tmp_path))
+    every = assets.objects(found)
+    links = assets.externals(found)
+    assert {r["path"].rsplit("/")[-1] for r in links.where("error IS NOT NULL").collect()} <= {"cut"}
+    links = assets.resolved(links, found, "target_name")
+    decoded = assets.decode(every)
+    edges = assets.pointers(decoded.where("class_id = 1 AND path_id = 1 AND file_name = 'level0'"))
+    got = assets.deref_decoded(edges, links, every).collect()
+    assert edges.count() == len(got) == 4 * 3
+    side = {(r["src_path"].split("/")[-2], r["value"].split('"')[-2]) for r in got if r["m_file_id"] == 1}
+    assert side == {("x", "text of far x"), ("y", "text of far y"), ("x.bundle", "text of in bundle x"), ("y.bundle", "text of in bundle y")}
+    out = assets.manifest(decoded.where("class_id = 49"), F.concat_ws("/", "path", F.col("path_id")))
+    assert out.count() == 16 and out.select("dest").distinct().count() == 16
+    loaded = assets.preload_paths(decoded.where("path LIKE '%x/level0'"), links, every)
+    assert {(r["path_id"], r["asset_path"], r["direct"]) for r in loaded.collect()} == {(10, "assets/a.txt", True), (2, "assets/a.txt", True)}
+
+
+def test_resources_by_four_names(spark, tmp_path):
+    for where, data in (("x", b"0123456789"), ("y", b"abcdefghij")):
+        (tmp_path / where).mkdir()
+        (tmp_path / where / "snd.resource").write_bytes(data)
+    (tmp_path / "only.resS").write_bytes(b"far away!")
+    found = assets.files(spark, str(tmp_path))
+    at = lambda where: f"{found.where('name = ' + repr('only.resS')).first()['path'].rsplit('/', 1)[0]}/{where}/level0"
+    asks = [(at("x"), "archive:/a/snd.resource", 2, 3), (at("y"), "snd.assets", 0, 2), (at("y"), "only.assets", 4, 4), (at("y"), "none", 0, 1)]
+    got = assets.resource_bytes(spark.createDataFrame(asks, "path string, source string, offset long, size long"), found)
+    assert {(r["source"], bytes(r["data"]) if r["data"] is not None else None) for r in got.collect()} == {("archive:/a/snd.resource", b"234"), ("snd.assets", b"ab"), ("only.assets", b"away"), ("none", None)}
+    assert {r["path"].rsplit("/")[-2] for r in assets.find_files(spark, str(tmp_path), "snd").collect()} == {"x", "y"}
+
+
+def test_referenced_types_round_trip(spark):
+    held = fx.tree((0, "Thing", "Base"), (1, "int", "hp"), (1, "string", "label"))
+    root = fx.tree(
+        (0, "MonoBehaviour", "Base"), (1, "string", "m_Name"), (1, "ManagedReferencesRegistry", "references"), (2, "int", "version"),
+        (2, "vector", "RefIds"), (3, "Array", "Array", True), (4, "int", "size"), (4, "ReferencedObject", "data"), (5, "SInt64", "rid"),
+        (5, "ReferencedManagedType", "type"), (6, "string", "class"), (6, "string", "ns"), (6, "string", "asm"), (5, "ReferencedObjectData", "data"),
+    )
+    kind = {"class": "Thing", "ns": "game", "asm": "main"}
+    none = {"class": "", "ns": "", "asm": ""}
+    value = {"m_Name": "m", "references": {"version": 2, "RefIds": [{"rid": 1, "type": kind, "data": {"hp": 7, "label": "seven"}}, {"rid": 2, "type": none}]}}
+    refs = {("Thing", "game", "main"): held}
+    types = [ct.Type(114, script_index=0, script_id=bytes(16), tree=root)]
+    f = ct.Serialized(21, "<", "2021.3.1f1", 5, True, types, [ct.Entry(1, 0, 114, tt.encode(value, root, "<", refs))], scripts=[(1, 99)], reference_types=[ct.Type(-1, tree=held, reference=("Thing", "game", "main"))])
+    found = assets.unfolded(spark.createDataFrame([("f", bytearray(ct.write_serialized(f)))], "path string, content binary"))
+    decoded = assets.decode(assets.objects(found))
+    row = decoded.first()
+    assert row["decode_error"] is None and '"label": "seven"' in row["value"]
+    assert assets.encode(decoded.withColumn("was", F.col("payload"))).where("payload = was").count() == 1
+    assert assets.types(found).where("is_reference").select("script_class", "script_namespace", "script_assembly").first() == ("Thing", "game", "main")
+    assert assets.scripts(found).select("script_idx", "file_index", "identifier").first() == (0, 1, 99)
+
+
+def test_codecs_go_to_the_tasks(spark):
+    codecs = bn.with_codec(9, lambda data, size: bytes(b ^ 90 for b in data), lambda data: bytes(b ^ 90 for b in data))
+    b = ct.Bundle("UnityFS", 7, "5.x.x", "2019.4.1f1", 0, entries=[("CAB-a", ct.write_serialized(fx.serialized()), 4)])
+    raw = spark.createDataFrame([("p", bytearray(ct.write_bundle(b, (64 | 9, 9), codecs)))], "path string, content binary")
+    assert assets.unfolded(raw, codecs=codecs).where("file_type = 'serialized'").count() == 1
+    assert "not available" in assets.unfolded(raw).first()["error"]
+    for packer in ("none", "lz4", "lzma", "original", (194, 1)):
+        for engine, version, signature in (("2019.4.1f1", 6, "UnityFS"), ("2022.3.2f1", 8, "UnityFS"), ("5.3.0f1", 6, "UnityRaw")):
+            one = ct.Bundle(signature, version, "5.x.x", engine, 65, entries=[("a", bytes(300_000), 4), ("b", b"xyz", 0)])
+            back = ct.read_bundle(ct.write_bundle(one, packer))
+            assert (back.signature, back.version, back.entries) == (signature, version, one.entries)
+
+
 def test_patch(spark, folder):
     found = assets.files(spark, folder)
     path = found.where("name = 'CAB-a'").first()["path"]
