@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -108,19 +108,26 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     the edges and leaves out what was seen, until nothing is new: as many rounds as the longest way is deep. Rounds
     are checkpointed, in the shared folder if one is set.
     """
-    cut = _cut(edges.sparkSession)
-    seen = cut(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
+    kept = cut(edges.sparkSession)
+    seen = kept(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")))
     front = seen
     for depth in count(1):
         step = front.join(edges, front["node"] == edges["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = kept(step.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             return seen
-        seen = cut(seen.unionByName(front))
+        seen = kept(seen.unionByName(front))
 
 
-def _cut(spark):
+def cut(spark: SparkSession):
+    """A function that cuts a DataFrame's lineage by a checkpoint in the shared folder of ``spark.checkpoint.dir``.
+
+    Only in local mode, where there is one machine, a temporary folder stands in for a missing setting.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:  # rounds that aren't cut double the plan each time
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and context.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return lambda df: df.checkpoint()

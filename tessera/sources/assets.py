@@ -314,6 +314,10 @@ def decode(rows: DataFrame, name_only: bool = False) -> DataFrame:
     return rows.mapInArrow(run, schema + ", value string, decode_error string")
 
 
+def trees_from_json(tree: str) -> tt.Node:
+    return tt.from_dicts(json.loads(tree))
+
+
 def _trees_of(refs: str | None) -> tt.Refs | None:
     return refs and {(c, n, m): tt.from_dicts(tree) for c, n, m, tree in json.loads(refs)}
 
