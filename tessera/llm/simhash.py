@@ -28,6 +28,7 @@ from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,10 +39,12 @@ from tessera.llm.common import checkpoint, id_and_text, small_side
 FAN = 8
 #: Rows of a candidate group from which it is keyed again by a finer cover, or dealt out in blocks.
 GROUP_ROWS = 20_000
-#: Bytes of shingle hashes that weigh as much as a row of a group.
-ROW_WEIGHT = 1_600
+#: Bytes of shingle hashes that weigh as much as a row of a group: a group has 8 MB of them at most.
+ROW_WEIGHT = 400
+#: Bytes of shingle hashes of small groups that are compared in one go.
+SET_BYTES = 2_000_000
 #: Pairs of nodes taken down a level at once: the bound of a task's working memory.
-CHUNK = 8_000
+CHUNK = 2_000
 
 
 # -- fingerprints ---------------------------------------------------------------------------
@@ -282,9 +285,10 @@ class ShingleSets:
     """Sets of shingle hashes of many rows, as numbers from 0, for similarities of one row with others."""
 
     def __init__(self, raw: list[bytes]):
-        self.sizes = np.array([len(x) // 8 for x in raw], np.int64)
+        self.sizes = np.array([len(x) // 4 for x in raw], np.int64)
         self.begin = np.cumsum(self.sizes) - self.sizes
-        values, self.ids = np.unique(np.frombuffer(b"".join(raw), np.uint64), return_inverse=True)
+        values, ids = np.unique(np.frombuffer(b"".join(raw), np.uint32), return_inverse=True)
+        self.ids = ids.astype(np.int32)
         self.marked = np.zeros(len(values), bool)
 
     def similarity(self, i: int, js: np.ndarray) -> np.ndarray:
@@ -331,14 +335,24 @@ def group_links(key: np.ndarray, node: np.ndarray, rows: np.ndarray, radius: int
 def links_of(groups: DataFrame, words: int, radius: int, similarity: float = 0.0) -> DataFrame:
     """``u, v`` (u > v) links inside the groups ``key, node, w0 ..`` (and ``shingles``, if they decide)."""
     names = [f"w{k}" for k in range(words)]
-    exact = "shingles" in groups.columns
-
-    def links(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
-        col = lambda n: t.column(n).to_numpy()
-        rows = np.stack([col(n).view(np.uint64) for n in names], axis=1)
-        u, v = group_links(col("key"), col("node"), rows, radius, t.column("shingles").to_pylist() if exact else None, similarity)
-        return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+    exact, most = "shingles" in groups.columns, SET_BYTES
+
+    def links(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The links of whole groups; where their shingles are at hand, of as many groups at a time as have few bytes of them."""
+        whole = pa.Table.from_batches(parts)
+        ends = [0, len(whole)]
+        if exact:
+            size = np.cumsum(pc.binary_length(whole.column("shingles")).to_numpy())
+            last = np.flatnonzero(np.diff(whole.column("key").to_numpy(), append=0)) + 1  # a group ends before each
+            last = np.union1d(last, len(whole))
+            step = size[last - 1] // most
+            ends = [0, *last[np.flatnonzero(np.diff(step, append=step[-1] + 1))].tolist()]
+        for a, b in pairwise(ends):
+            t = whole.slice(a, b - a)
+            col = lambda n: t.column(n).to_numpy()  # noqa: B023, E731
+            rows = np.stack([col(n).view(np.uint64) for n in names], axis=1)
+            u, v = group_links(col("key"), col("node"), rows, radius, t.column("shingles").to_pylist() if exact else None, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # of the key that the last batch ended in
@@ -348,11 +362,11 @@ def links_of(groups: DataFrame, words: int, radius: int, similarity: float = 0.0
             key = batch.column(0).to_numpy()
             cut = int(np.searchsorted(key, key[-1]))
             if held and held[-1].column(0)[-1].as_py() != key[-1] or cut:
-                yield links([*held, batch.slice(0, cut)])
+                yield from links([*held, batch.slice(0, cut)])
                 held = []
             held.append(batch.slice(cut))
         if held:
-            yield links(held)
+            yield from links(held)
 
     rows = groups.select("key", "node", *names, *["shingles"] * exact)
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
@@ -468,12 +482,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def occurrences(h: np.ndarray) -> np.ndarray:
-    """Sorted hashes of the shingles with their number among equal ones: sets whose Jaccard similarity is the weighted one."""
+    """Sorted 32-bit hashes of the shingles with their number among equal ones: sets whose Jaccard similarity is the weighted one.
+
+    In two texts of a thousand shingles one pair of different ones in 4,000 texts meets by chance, and counts as one of the thousand.
+    """
     h = np.sort(h)
     at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
     nth = np.arange(len(h)) - np.repeat(at, np.diff(np.append(at, len(h))))
     with np.errstate(over="ignore"):
-        return np.sort(remix(h + nth.astype(np.uint64) * np.uint64(_BASE), 3))
+        return np.sort((remix(h + nth.astype(np.uint64) * np.uint64(_BASE), 3) >> np.uint64(32)).astype(np.uint32))
 
 
 def verified_links(docs: DataFrame, roots: DataFrame, shingle_words: int, words: int, radius: int, similarity: float) -> DataFrame:

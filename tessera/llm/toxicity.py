@@ -23,7 +23,7 @@ from tessera.llm.common import bounded, id_and_text, labelled_text
 
 BUCKET_BITS = 20
 STEM = 4
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 _word = re.compile(r"\w+").findall
 _seen: dict[str, int] = {}
 

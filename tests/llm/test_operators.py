@@ -419,11 +419,12 @@ def family(draw, size, words=120):
     return [" ".join(w) for w in out]
 
 
-@pytest.mark.parametrize("rows", [20_000, 75])
-def test_near_duplicates_are_brute_force(spark, monkeypatch, rows):
+@pytest.mark.parametrize(("rows", "sizes"), [(20_000, (90, 40, 8, 5, 3, 2, 2)), (60, (44, 9, 3, 2))])
+def test_near_duplicates_are_brute_force(spark, monkeypatch, rows, sizes):
     draw = random.Random(17)
     monkeypatch.setattr(simhash, "GROUP_ROWS", rows)
-    texts = [t for size in (90, 40, 8, 5, 3, 2, 2) for t in family(draw, size)] + ["a b c", "A b  C", "", None, "same " * 500, "same " * 490 + "other words at the end of it"]
+    monkeypatch.setattr(simhash, "SET_BYTES", 3_000)
+    texts = [t for size in sizes for t in family(draw, size)] + ["a b c", "A b  C", "", None, "same " * 500, "same " * 490 + "other words at the end of it"]
     texts += [f"{draw.random()} " + " ".join(f"w{draw.randrange(10**6)}" for _ in range(60)) for _ in range(30)]
     draw.shuffle(texts)
     docs = frame(spark, texts)
