@@ -53,13 +53,16 @@ def deref_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @kernel("""
-SELECT c_mktsegment, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey
-WHERE o_custkey % 10 <> 0 GROUP BY c_mktsegment
+WITH p AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_custkey END AS ptr FROM orders)
+SELECT c_mktsegment, count(*) AS n FROM p JOIN customer ON ptr = c_custkey WHERE ptr <> 0 GROUP BY c_mktsegment
+UNION ALL SELECT NULL, count(*) FROM p WHERE ptr = 0
 """)
 def deref_null_pointer_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null pointers (D04) are filtered before the join."""
-    orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    return orders.where("o_custkey % 10 <> 0").join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    """Null pointers (D04) are left out before the join, and counted."""
+    pointer = F.when(F.col("o_orderstatus") == "P", F.lit(0).cast("long")).otherwise(F.col("o_custkey"))
+    orders, customers = table(spark, sf_dir, "orders").select(pointer.alias("ptr")), table(spark, sf_dir, "customer")
+    found = orders.where("ptr <> 0").join(customers, F.col("ptr") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
+    return found.unionByName(orders.where("ptr = 0").agg(F.count(F.lit(1)).alias("n")).withColumn("c_mktsegment", F.lit(None).cast("string")))
 
 
 @kernel("SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON c_custkey = o_custkey")
@@ -472,11 +475,11 @@ def bit_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @kernel("""
 SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(floor((embedding[i] + 8) / 16 * 255) AS BIGINT) AS q, round(CAST(floor((embedding[i] + 8) / 16 * 255) AS BIGINT) * 16.0::DOUBLE / 255 - 8, 6) AS x
-FROM embeddings, range(1, 5) t(i)
+FROM embeddings, range(1, 65) t(i) WHERE i <= len(embedding)
 """)
 def quantise_dequantise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Floats as 8 bits and back."""
-    first = F.transform(F.slice("embedding", 1, 4), lambda x: F.floor((x + F.lit(8.0).cast("float")) / F.lit(16.0).cast("float") * F.lit(255.0).cast("float")))
+    first = F.transform("embedding", lambda x: F.floor((x + F.lit(8.0).cast("float")) / F.lit(16.0).cast("float") * F.lit(255.0).cast("float")))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(first).alias("pos", "q"))
     return rows.select("vec_id", "pos", F.col("q").cast("long").alias("q"), F.round(C.dequantise(F.col("q"), F.lit(-8.0), F.lit(16.0), 8), 6).alias("x"))
 
@@ -488,11 +491,14 @@ def reshape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "row", F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
 
 
-@kernel("SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding[1:3]::DOUBLE[], lambda x: x * x))), 6) AS x FROM embeddings")
+@kernel("""
+SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(embedding[i]::DOUBLE / sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 6) AS x
+FROM embeddings, range(1, 65) t(i) WHERE i <= len(embedding)
+""")
 def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unit vectors."""
-    v = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double"))
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(C.normalise(v)[0], 6).alias("x"))
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(C.normalise(v)).alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 @kernel("""
@@ -610,15 +616,18 @@ def tree_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @kernel("""
-SELECT DISTINCT kind, id FROM (
-  SELECT 'customer' AS kind, o_custkey AS id FROM orders WHERE o_orderkey % 97 = 0
-  UNION ALL SELECT 'nation', c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 97 = 0)
+WITH c AS (SELECT DISTINCT c_custkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P')
+SELECT 'customer' AS kind, c_custkey AS id FROM c
+UNION ALL SELECT DISTINCT 'nation', CAST(c_nationkey AS BIGINT) FROM c
+UNION ALL SELECT DISTINCT 'region', CAST(n_regionkey AS BIGINT) FROM c JOIN nation ON c_nationkey = n_nationkey
 """)
 def dirty_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ancestors of what changed."""
-    changed = table(spark, sf_dir, "orders").where("o_orderkey % 97 = 0").select("o_custkey").distinct()
-    owners = changed.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return changed.select(F.lit("customer").alias("kind"), F.col("o_custkey").alias("id")).unionByName(owners.select(F.lit("nation").alias("kind"), F.col("c_nationkey").cast("long").alias("id")).distinct())
+    """What holds something that changed, up to the root (F06): every level folds to distinct keys before the next join."""
+    changed = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")).distinct()
+    holders = table(spark, sf_dir, "customer").join(changed, "c_custkey", "left_semi").select("c_custkey", "c_nationkey")
+    nations = table(spark, sf_dir, "nation").join(holders, F.col("n_nationkey") == F.col("c_nationkey"), "left_semi")
+    level = lambda df, kind, key: df.select(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id")).distinct()
+    return level(holders, "customer", "c_custkey").unionByName(level(nations, "nation", "n_nationkey")).unionByName(level(nations, "region", "n_regionkey"))
 
 
 # -- objects ---------------------------------------------------------------------------------------------------
