@@ -80,7 +80,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     Each remaining line keeps its place; lines are joined by a newline.
     """
-    own = docs.select(F.struct("*").alias("row")).withColumn("whole", F.coalesce(F.col("row.text").cast("string"), F.lit(""))).withColumn("key", F.xxhash64("whole"))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])  # the text travels once
+    own = docs.select(others.alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("whole")).withColumn("key", F.xxhash64("whole"))
     marks = bitmaps.select(F.col("doc_id").alias("mark_doc"), F.col("text_key").alias("mark_key"), F.col("n_dropped").alias("n"), F.map_from_entries("words").alias("marks"))
     joined = own.join(marks, (F.col("row.doc_id").cast("long") == F.col("mark_doc")) & (F.col("key") == F.col("mark_key")), "left").withColumn("lines", F.split("whole", "\n", -1))
     stays = "filter(lines, (x, i) -> (shiftright(coalesce(marks[cast(i div 64 as int)], 0L), i % 64) & 1L) = 0L)"
