@@ -29,8 +29,12 @@ from pyspark.sql import functions as F
 from tessera.llm.common import id_and_text
 
 NONE = 1 << 62
-#: White-space-free runs a Python worker remembers; the table is emptied when full.
-CACHE_WORDS = 600_000
+#: White-space-free runs a Python worker remembers: those it met in two slices of text. The table is emptied when full.
+CACHE_WORDS = 300_000
+#: Marks of runs met once, by their hash.
+MARKS = 1 << 20
+#: Bytes of text that are encoded at once.
+SLICE_BYTES = 1_000_000
 
 
 def byte_letters() -> list[str]:
@@ -178,6 +182,7 @@ class Coder:
         self.odd_space = regex.compile(r"[\s--[\x20\x09-\x0D]]", regex.V1)
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.seen: dict[str, bytes] = {}
+        self.met = bytearray(MARKS)
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """The ids of each word."""
@@ -224,14 +229,18 @@ class Coder:
         new = every - self.seen.keys()
         if len(self.seen) + len(new) > CACHE_WORDS:
             self.seen.clear()
+            self.met = bytearray(MARKS)
             new = every
         pieces = {c: self.find(c) for c in new}
         ids = self.learn({w for ws in pieces.values() for w in ws}).__getitem__
         self.seen.update((c, b"".join(map(ids, ws))) for c, ws in pieces.items())
         ids = self.seen.__getitem__
         out = [b"".join([np.array([self.special[x]], dtype="<u4").tobytes() if isinstance(x, str) else b"".join(map(ids, x)) for x in parts]) for parts in found]
-        for c in [c for c in new if len(c) > 64]:
-            del self.seen[c]
+        for c in new:  # most runs never come again
+            mark = hash(c) % MARKS
+            if len(c) > 64 or not self.met[mark]:
+                del self.seen[c]
+            self.met[mark] = 1
         return out
 
     def encode(self, text: str) -> bytes:
@@ -289,7 +298,7 @@ def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(shared)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 ids = [np.frombuffer(x, dtype="<i4") for x in coder.encode_batch(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -324,7 +333,7 @@ def round_trip_digests(docs: DataFrame, vocabulary: str, with_ids: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(shared)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 raw = coder.encode_batch(part.column(1).to_pylist())
                 columns = [
                     part.column(0),

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import slices
+from tessera.llm.bpe import SLICE_BYTES, slices
 from tessera.llm.common import checkpoint, id_and_text, small_side
 
 FAN = 8
@@ -132,7 +132,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 4, words: int = 1, with_t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 hashes = [shingle_hashes(t.as_py(), shingle_words) for t in part.column(1)]
                 found = [simhash(h, words) for h in hashes]
                 columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(words)]
@@ -504,7 +504,7 @@ def verified_links(docs: DataFrame, roots: DataFrame, shingle_words: int, words:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, SLICE_BYTES):
                 hashes = [shingle_hashes(t, shingle_words) for t in part.column(1).to_pylist()]
                 sets = [occurrences(h).tobytes() for h in hashes]
                 prints = [simhash(h, words) for h in hashes]
