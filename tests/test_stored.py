@@ -7,6 +7,8 @@ from tessera.plans import stored
 
 SF = "/root/testdata/sf0.001"
 LARGE = [1, 1_615, 1_616, 5_999, 59_999, 2**31 - 1]
+# the twin of stored_values casts keys to INTEGER, so it has none of these
+LARGER = [2**31, 2**40 + 3]
 
 
 def _folder(tmp_path, keys):
@@ -30,3 +32,13 @@ def _same(spark, duck, folder, name):
 
 def test_values_of_large_keys(spark, tmp_path):
     _same(spark, _folder(tmp_path, LARGE), tmp_path, "stored_values")
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "stored_container",
+    ],
+)
+def test_larger_keys(spark, tmp_path, name):
+    _same(spark, _folder(tmp_path, LARGE + LARGER), tmp_path, name)
