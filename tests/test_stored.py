@@ -38,6 +38,7 @@ def test_values_of_large_keys(spark, tmp_path):
     "name",
     [
         "stored_container",
+        "stored_deref",
     ],
 )
 def test_larger_keys(spark, tmp_path, name):
