@@ -40,6 +40,7 @@ def test_values_of_large_keys(spark, tmp_path):
         "stored_container",
         "stored_deref",
         "stored_names",
+        "stored_null_pointers",
     ],
 )
 def test_larger_keys(spark, tmp_path, name):
