@@ -41,6 +41,7 @@ def test_values_of_large_keys(spark, tmp_path):
         "stored_deref",
         "stored_names",
         "stored_null_pointers",
+        "stored_objects",
     ],
 )
 def test_larger_keys(spark, tmp_path, name):
