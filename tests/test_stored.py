@@ -42,6 +42,7 @@ def test_values_of_large_keys(spark, tmp_path):
         "stored_names",
         "stored_null_pointers",
         "stored_objects",
+        "stored_patch",
     ],
 )
 def test_larger_keys(spark, tmp_path, name):
