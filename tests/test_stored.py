@@ -43,6 +43,7 @@ def test_values_of_large_keys(spark, tmp_path):
         "stored_null_pointers",
         "stored_objects",
         "stored_patch",
+        "stored_preload",
     ],
 )
 def test_larger_keys(spark, tmp_path, name):
