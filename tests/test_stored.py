@@ -44,6 +44,7 @@ def test_values_of_large_keys(spark, tmp_path):
         "stored_objects",
         "stored_patch",
         "stored_preload",
+        "stored_reach",
     ],
 )
 def test_larger_keys(spark, tmp_path, name):
