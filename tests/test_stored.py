@@ -49,3 +49,24 @@ def test_values_of_large_keys(spark, tmp_path):
 )
 def test_larger_keys(spark, tmp_path, name):
     _same(spark, _folder(tmp_path, LARGE + LARGER), tmp_path, name)
+
+
+def _odd(tmp_path):
+    """Suppliers without a name, without a balance or without either, and with balances that aren't finite."""
+    duck = _folder(tmp_path, LARGE)
+    name = "CASE WHEN s_suppkey NOT IN (1, 1616) THEN s_name END"
+    balance = "CASE s_suppkey WHEN 1 THEN -5 WHEN 1615 THEN NULL WHEN 1616 THEN NULL WHEN 5999 THEN '-Infinity'::DOUBLE WHEN 59999 THEN 'NaN'::DOUBLE ELSE s_acctbal END"
+    duck.sql(f"CREATE TABLE given AS SELECT s_suppkey, {name} AS s_name, s_nationkey, {balance} AS s_acctbal FROM supplier")
+    duck.sql(f"COPY given TO '{tmp_path}/supplier.parquet'")
+    return duck
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "stored_container",
+        "stored_values",
+    ],
+)
+def test_missing_names_and_odd_balances(spark, tmp_path, name):
+    _same(spark, _odd(tmp_path), tmp_path, name)
