@@ -65,6 +65,7 @@ def _odd(tmp_path):
     "name",
     [
         "stored_container",
+        "stored_deref",
         "stored_values",
     ],
 )
