@@ -66,6 +66,7 @@ def _odd(tmp_path):
     [
         "stored_container",
         "stored_deref",
+        "stored_names",
         "stored_values",
     ],
 )
