@@ -68,6 +68,7 @@ def _odd(tmp_path):
         "stored_deref",
         "stored_names",
         "stored_null_pointers",
+        "stored_objects",
         "stored_values",
     ],
 )
