@@ -69,8 +69,16 @@ def _odd(tmp_path):
         "stored_names",
         "stored_null_pointers",
         "stored_objects",
+        "stored_patch",
         "stored_values",
     ],
 )
 def test_missing_names_and_odd_balances(spark, tmp_path, name):
     _same(spark, _odd(tmp_path), tmp_path, name)
+
+
+def test_patch_of_names_with_quotes(spark, tmp_path):
+    duck = _folder(tmp_path, LARGE)
+    duck.sql("CREATE TABLE given AS SELECT s_suppkey, 'a \"b\\\\c\" d\\' AS s_name, s_nationkey, -1.5::DOUBLE AS s_acctbal FROM supplier")
+    duck.sql(f"COPY given TO '{tmp_path}/supplier.parquet'")
+    _same(spark, duck, tmp_path, "stored_patch")
