@@ -70,6 +70,7 @@ def _odd(tmp_path):
         "stored_null_pointers",
         "stored_objects",
         "stored_patch",
+        "stored_preload",
         "stored_values",
     ],
 )
