@@ -71,6 +71,7 @@ def _odd(tmp_path):
         "stored_objects",
         "stored_patch",
         "stored_preload",
+        "stored_reach",
         "stored_values",
     ],
 )
