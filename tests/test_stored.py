@@ -84,3 +84,32 @@ def test_patch_of_names_with_quotes(spark, tmp_path):
     duck.sql("CREATE TABLE given AS SELECT s_suppkey, 'a \"b\\\\c\" d\\' AS s_name, s_nationkey, -1.5::DOUBLE AS s_acctbal FROM supplier")
     duck.sql(f"COPY given TO '{tmp_path}/supplier.parquet'")
     _same(spark, duck, tmp_path, "stored_patch")
+
+
+def _keyless(tmp_path):
+    """Suppliers without a key, nations without a key, a name or a region, and regions beyond the usual five."""
+    duck = _folder(tmp_path, LARGE)
+    duck.sql(
+        "CREATE TABLE given AS SELECT * FROM supplier UNION ALL SELECT NULL, 'a', 3, -1.5 UNION ALL SELECT NULL, 'b', 8, 2.5 UNION ALL SELECT NULL, NULL, NULL, -2.5"
+        " UNION ALL SELECT 6000 + n, 'n' || n, n, 1.5 FROM (VALUES (8), (11), (12), (27), (9999)) t(n)"
+    )
+    nations = [(8, None, 3), (11, None, 1), (1, None, 1), (12, "N", None), (14, None, None), (None, "without key", 2), (27, "far", 7), (9899, "farther", -3), (9999, "farthest", 2**31 - 1)]
+    duck.sql("CREATE TABLE lands AS SELECT * FROM nation WHERE n_nationkey NOT IN (8, 11, 1, 12, 14)")
+    duck.executemany("INSERT INTO lands VALUES (?, ?, ?)", nations)
+    duck.sql(f"COPY given TO '{tmp_path}/supplier.parquet'")
+    duck.sql(f"COPY lands TO '{tmp_path}/nation.parquet'")
+    return duck
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "stored_container",
+        "stored_deref",
+        "stored_packers",
+        "stored_patch",
+        "stored_values",
+    ],
+)
+def test_missing_keys_names_and_regions(spark, tmp_path, name):
+    _same(spark, _keyless(tmp_path), tmp_path, name)
