@@ -106,6 +106,7 @@ def _keyless(tmp_path):
     [
         "stored_container",
         "stored_deref",
+        "stored_names",
         "stored_packers",
         "stored_patch",
         "stored_values",
