@@ -108,6 +108,7 @@ def _keyless(tmp_path):
         "stored_deref",
         "stored_names",
         "stored_null_pointers",
+        "stored_objects",
         "stored_packers",
         "stored_patch",
         "stored_values",
