@@ -111,6 +111,7 @@ def _keyless(tmp_path):
         "stored_objects",
         "stored_packers",
         "stored_patch",
+        "stored_preload",
         "stored_values",
     ],
 )
