@@ -112,6 +112,7 @@ def _keyless(tmp_path):
         "stored_packers",
         "stored_patch",
         "stored_preload",
+        "stored_reach",
         "stored_values",
     ],
 )
