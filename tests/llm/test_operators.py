@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import bpe, decontaminate, langid, licenses, line_dedup, neighbours, quality, queries, sharding, simhash, sql, toxicity
-from tessera.llm.common import crc_mod
+from tessera.llm.common import checkpoint, crc_mod, small_side
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -441,6 +441,16 @@ def test_near_duplicates_without_a_broadcast(spark, monkeypatch, odd):
     assert sorted(map(str, simhash.one_of_each_group(odd).collect())) == want
 
 
+@pytest.mark.parametrize(("rows", "sent"), [(1_000, True), (270_000, False)])
+def test_many_ids_do_not_pass_the_driver(spark, rows, sent):
+    ids = checkpoint(spark.range(rows).select((F.col("id") * 3).alias("id")))
+    for how, want in (("inner", -(-rows // 3)), ("left_anti", rows - -(-rows // 3))):
+        joined = spark.range(rows).join(small_side(ids), "id", how)
+        hints = joined._jdf.queryExecution().analyzed().toString()
+        assert ("strategy=broadcast" in hints) == sent
+        assert joined.count() == want
+
+
 def test_index_over_many_groups_is_brute_force():
     draw = np.random.default_rng(21)
     sizes = np.array([1, 3, 8, 9, 70, 200, 1])
