@@ -29,8 +29,7 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     )
 
 
-#: Rows of ids up to which a side of a join is broadcast: the driver collects, hashes and serializes them,
-#: which took 130 MB of its memory at 270,000 rows of two ids.
+#: Rows of ids up to which a side of a join is broadcast: the driver collects, hashes and serializes them.
 BROADCAST_ROWS = 100_000
 
 
